@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, token_files
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
