@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_files
+from . import chat_format, mixing, sharding, token_files, topk_search
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": topk_search.op1_topk_search,
         "op2_mixing": mixing.op2_mixing,
+        "op5_chat_format": chat_format.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
         "op8_token_files": token_files.op8_token_files,
     }
@@ -15,5 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk_search": topk_search.SQL,
         "op2_mixing": mixing.mix_sql(),
+        "op5_chat_format": chat_format.SQL,
     }
