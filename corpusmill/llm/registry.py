@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, sharding, token_files, topk_search
+from . import chat_format, language_id, mixing, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_mixing": mixing.op2_mixing,
+        "op3_quality": quality.op3_quality,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
         "op8_token_files": token_files.op8_token_files,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
