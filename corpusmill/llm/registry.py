@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, quality, sharding, token_files, topk_search
+from . import chat_format, language_id, mixing, piece_fst, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
+        "op7_pieces": piece_fst.op7_pieces,
         "op8_token_files": token_files.op8_token_files,
         "op9_language_id": language_id.op9_language_id,
     }
