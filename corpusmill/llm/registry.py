@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, piece_fst, quality, sharding, token_files, topk_search
+from . import chat_format, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": quality.op3_quality,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
         "op7_pieces": piece_fst.op7_pieces,
