@@ -122,21 +122,13 @@ _ASCII_LETTER = np.zeros(256, np.int64)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = 1
 
 
-def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for each row: the language that codes the whole text shortest, and its share of the languages' probabilities.
-
-    Code lengths are damped to at most 64 bytes' worth before probabilities are compared, so scores
-    tell close cases in long texts too. ``und`` with score 0 for null texts, texts without a letter
-    and models without a language. Ties go to the language first in order. Repeated rows each get
-    a result; an empty table gives no rows. The model sent to the tasks is bounded by the sample
-    that it was learnt from.
-    """
+def _guesses(docs: DataFrame, model: DataFrame, text_col: str, finish, schema):
+    """Run ``finish(rows, names, scores)`` on slices of rows and their guessed languages."""
     rows = model.toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(langs)}
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((langs, np.array([number[x] for x in rows["lang"].to_pylist()], np.int16), rows["gram"].to_numpy().astype(np.int64), rows["n"].to_numpy()))
-    key = shared_path(spark, "trees")
+    shared = docs.sparkSession.sparkContext.broadcast((langs, np.array([number[x] for x in rows["lang"].to_pylist()], np.int16), rows["gram"].to_numpy().astype(np.int64), rows["n"].to_numpy()))
+    key = shared_path(docs.sparkSession, "trees")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _worker:
@@ -145,20 +137,38 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
         trees = _worker[key]
         for batch in batches:
             for part, buf, at in pieces(batch, text_col, 1 << 20):
-                letters = np.add.reduceat(np.append(_ASCII_LETTER[buf], 0), at[:-1]) * (np.diff(at) > 0)
-                for i in np.flatnonzero((letters == 0) & (np.diff(at) > 0)):
+                size = np.diff(at)
+                letters = np.add.reduceat(np.append(_ASCII_LETTER[buf], 0), at[:-1]) * (size > 0)
+                for i in np.flatnonzero((letters == 0) & (size > 0)):
                     letters[i] = any(c.isalpha() for c in buf[at[i] : at[i + 1]].tobytes().decode())
                 if trees is None:
-                    best, score, letters = np.zeros(len(letters), int), np.zeros(len(letters)), letters * 0
-                else:
-                    bits = trees.code_lengths(buf, at)
-                    best = bits.argmin(1)
-                    over = (bits - bits.min(1, keepdims=True)) * np.minimum(1, 64 / np.maximum(np.diff(at), 1))[:, None]
-                    score = 1 / np.exp2(-over).sum(1)
-                names = [langs[b] if ok else "und" for b, ok in zip(best, letters)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(np.where(letters > 0, score, 0.0))], names=[id_col, "lang_pred", "score"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+                    yield finish(part, ["und"] * len(size), np.zeros(len(size)))
+                    continue
+                bits = trees.code_lengths(buf, at)
+                over = (bits - bits.min(1, keepdims=True)) * np.minimum(1, 64 / np.maximum(size, 1))[:, None]
+                score = np.where(letters > 0, 1 / np.exp2(-over).sum(1), 0.0)
+                yield finish(part, [langs[b] if ok else "und" for b, ok in zip(bits.argmin(1), letters)], score)
+
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) for each row: the language that codes the whole text shortest, and its share of the languages' probabilities.
+
+    Code lengths are damped to at most 64 bytes' worth before probabilities are compared, so scores
+    tell close cases in long texts too. ``und`` with score 0 for null texts, texts without a letter
+    and models without a language. Ties go to the language first in order. Repeated rows each get
+    a result; an empty table gives no rows. The model sent to the tasks is bounded by the sample
+    that it was learnt from.
+    """
+    finish = lambda rows, names, score: pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+    return _guesses(docs.select(id_col, text_col), model, text_col, finish, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: DataFrame, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a learned language with at least a score."""
+    finish = lambda rows, names, score: rows.filter(pa.array(np.asarray(score) >= least))
+    return _guesses(docs, model, text_col, finish, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -60,6 +60,15 @@ def systematic_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     return out.select(id_col, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc32"), "source_key")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row, with all its columns, as often as systematic_mix says. Rows that repeat an id and text count as copies of one of them."""
+    found = systematic_mix(docs, id_col=id_col, text_col=text_col, **options)
+    copies = found.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_sum")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_crc", F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)))
+    rows = rows.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_sum"))).dropDuplicates([id_col, "_crc"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systematic_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

@@ -262,5 +262,12 @@ def _merge(held: DataFrame, links: DataFrame) -> DataFrame:
     return cut(held.join(merged, "comp", "left").select("key", F.coalesce("into", "comp").alias("comp")), "held")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, that stand for their component: the least id of each. Rows without words stay; rows that repeat an id go."""
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -191,6 +191,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 THRESHOLD = 0.3
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, at in pieces(batch, text_col):
+                yield rows.filter(pa.array(shared.value.score(statistics(buf, at)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
+from . import chat_format, embedding_dedup, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_pieces": piece_fst.op7_pieces,
         "op8_token_files": token_files.op8_token_files,
         "op9_language_id": language_id.op9_language_id,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk_search": topk_search.SQL,
         "op2_mixing": mixing.mix_sql(),
         "op5_chat_format": chat_format.SQL,
+        "op10_embedding_dedup": embedding_dedup.SQL,
     }
