@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, components, cut
@@ -170,11 +170,11 @@ def _links(groups: DataFrame, percent: int) -> DataFrame:
                     trie.insert(x, len(sizes))
                     sizes.append(len(x))
                     comps.append(comp)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows = groups.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "key").select("g", "salt", "kind", "comp", "shingles")
     with arrow_batches(groups.sparkSession, 256):
-        return cut(rows.mapInArrow(run, "a binary, b binary"), "links")
+        return cut(rows.mapInArrow(run, "a long, b long"), "links")
 
 
 def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_once: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +183,8 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
 
     Words are runs without ASCII white space, A-Z lower-cased. The component's id is the least id
     reachable by links; texts that are null or without words have 0 shingles and stay alone.
-    Equal sets are one class from the start. Then three joins of bucket groups: each class in its
+    Equal sets are one class from the start. Classes connected by bucket groups are a family and
+    are joined in one trie. Larger families take three joins of their groups: each class in its
     largest group; one class of each component per group; last, without loss, every group that
     still holds several components, its largest component probing the others. Tries hold at most
     about ``at_once`` sets; larger groups are salted. Repeated rows each give a row; null ids are
@@ -191,6 +192,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
+    digest_of = ["d1", "d2"]
     own = docs.select(id_col, text_col)
 
     def scan(with_sets: bool):
@@ -204,37 +206,57 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
                         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["key", "shingles"])
                         continue
                     owner = np.repeat(np.arange(len(n)), n)
-                    digest = np.column_stack([_sums(owner, mix(key + U(k)), len(n)) for k in (1, 2)])
-                    names = [d.astype(">u8").tobytes() for d in digest]
+                    d1, d2 = (pa.array(_sums(owner, mix(key + U(k)), len(n)).view(np.int64)) for k in (1, 2))
                     sums, whose = signatures(key, begin, percent)
                     order = np.argsort(whose, kind="stable")
                     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose[order], np.arange(len(n) + 1)), pa.int32()), pa.array(sums[order].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(names, pa.binary()), lists], names=["id", "n", "key", "sums"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), d1, d2, lists], names=["id", "n", "d1", "d2", "sums"])
 
         return run
 
-    rows = cut(own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan(False), f"id {id_type}, n long, key binary, sums array<long>"), "sets")
-    # One row of each class gives its text and bucket sums: the least (id, position free) one.
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
-    lists = rows.where("n > 0").join(classes, ["key"]).where(F.col("id").eqNullSafe(F.col("least"))).groupBy("key").agg(F.first("sums").alias("sums"))
-    postings = lists.select("key", F.explode("sums").alias("g"))
+    rows = cut(own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan(False), f"id {id_type}, n long, d1 long, d2 long, sums array<long>"), "sets")
+    # Equal sets have equal 128-bit digests; written once, a class keeps its number.
+    classes = cut(rows.where("n > 0").groupBy(*digest_of).agg(F.min("id").alias("least")).withColumn("key", F.monotonically_increasing_id()), "classes")
+    first = rows.where("n > 0").join(classes, digest_of).where(F.col("id").eqNullSafe(F.col("least")))
+    postings = first.select("key", F.explode("sums").alias("g"))
+    # One shuffle of (group, class); nearly all groups hold one class and end here.
+    postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("g"))).where("size > 1")
+    postings = cut(postings.select("g", "key").distinct(), "postings")
     groups = postings.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x2")).where("size > 1")
     groups = groups.groupBy("size", "x1", "x2").agg(F.min("g").alias("g")).select("g", "size")  # groups of the same classes once
     members = cut(postings.join(groups, "g"), "members")
     active = members.groupBy("key").agg(F.max(F.struct("size", "g")).alias("most"))
-    wanted = rows.join(active.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    wanted = active.join(classes, "key").select("key", F.col("least").alias("id"))
     texts = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("key", "text")
-    sets = cut(texts.mapInArrow(scan(True), "key binary, shingles binary").dropDuplicates(["key"]), "active_sets")
+    sets = cut(texts.mapInArrow(scan(True), "key long, shingles binary"), "active_sets")
+
+    # Classes that groups connect are a family; one of at most ``at_once`` classes is one trie, each set sent once.
+    ties = members.join(members.groupBy("g").agg(F.min("key").alias("b")), "g").select(F.col("key").alias("a"), "b")
+    family = components(ties).select(F.col("id").alias("key"), F.col("component").alias("family"))
+    kin = active.select("key").join(family, "key", "left").withColumn("family", F.coalesce("family", "key"))
+    kin = cut(kin.join(kin.groupBy("family").agg(F.count("*").alias("kin")), "family"), "families")
+    few = kin.where(F.col("kin") <= at_once).select(F.col("family").alias("g"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key", F.col("key").alias("comp"))
+    held = _merge(kin.select("key", F.col("key").alias("comp")), _links(few.join(sets, "key"), percent))
+    large = kin.where(F.col("kin") > at_once).select("key")
+    if not large.isEmpty():
+        held = _link_large(members.join(large, "key", "left_semi"), active.join(large, "key", "left_semi"), sets, held, percent, at_once)
 
+    named = classes.join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "comp").select(*digest_of, "component_id")
+    out = rows.select("id", "n", *digest_of).join(found, digest_of, "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _link_large(members: DataFrame, active: DataFrame, sets: DataFrame, held: DataFrame, percent: int, at_once: int) -> DataFrame:
+    """Components after the links of families too large for one trie, group by group."""
     salts = lambda size: F.ceil(F.col(size) / at_once)
     salt = lambda size: F.pmod(F.xxhash64("key"), salts(size))
-
     # 1. each class in its largest group
     first = active.select("key", F.col("most.g").alias("g"), F.col("most.size").alias("size"))
     first = first.withColumn("salt", salt("size")).withColumn("comp", F.col("key")).withColumn("kind", F.lit(0))
-    links = _links(first.join(sets, "key"), percent)
-    held = active.select("key", F.col("key").alias("comp"))
-    held = _merge(held, links)
+    held = _merge(held, _links(first.join(sets, "key"), percent))
     # 2. one class of each component in each group
     now = members.join(held, "key").groupBy("g", "comp").agg(F.min("key").alias("key"))
     many = now.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
@@ -247,13 +269,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
     third = now.join(split, "g").withColumn("n_salts", salts("others")).withColumn("own", F.when(F.col("comp") != F.col("main"), salt("others")))
     third = third.withColumn("salt", F.explode(F.sequence(F.coalesce("own", F.lit(0)).cast("long"), F.col("n_salts") - 1)))
     third = third.withColumn("kind", F.when(F.col("own") == F.col("salt"), 0).otherwise(1))
-    held = _merge(held, _links(third.join(sets, "key"), percent))
-
-    named = classes.join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "comp").select("key", "component_id")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(found, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return _merge(held, _links(third.join(sets, "key"), percent))
 
 
 def _merge(held: DataFrame, links: DataFrame) -> DataFrame:
