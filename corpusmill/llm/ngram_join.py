@@ -1,11 +1,13 @@
 """N-gram Jaccard join: a prefix-tree join over globally ordered shingle sets.
 
 Two sets of n and m shingles reach a Jaccard similarity of t exactly if they differ in at most
-(n + m)(1 - t) / (1 + t) shingles. So shingles are dealt by hash into one bucket more than that:
-similar sets agree in a whole bucket, and the buckets' checksums bring them together without loss
-(bucket counts go by size class; sets near the end of a class use the next class too). Each such
-group is joined by a trie of its sets in global (hash) order: a probe walks down the trie, shares
-the overlap counted so far among all sets below, and leaves a subtree when what remains of the
+d = (n + m)(1 - t) / (1 + t) shingles. So shingles are dealt by hash into d + 1 + s buckets: similar
+sets agree in s + 1 whole buckets or more, and the buckets' checksums bring them together without
+loss (bucket counts go by size class; sets near the end of a class use the next class too). A set
+with at most s small buckets needn't send these, as one of those it shares is larger. Within a
+group, parity sketches bound from below in how many shingles two sets differ; what that leaves is
+joined by a trie of the sets in global (hash) order: a probe walks down the trie, shares the
+overlap counted so far among all sets below, and leaves a subtree when what remains of the
 probe and of the subtree can't reach the overlap needed.
 """
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, components, cut
 from .textscan import LOWER, U, hashes, mix, pieces, word_bounds
 
-#: Ratio of one size class to the next.
-_RATIO = 2**0.5
+
+def _plan(percent: int) -> tuple[float, float, int]:
+    """Ratio of one size class to the next (at least that of similar sets' sizes), slack of the buckets, and the size up to which a bucket is small."""
+    return (2**0.25, 0.1, 3) if percent >= 88 else (max(2**0.5, 100 / percent + 0.05), 0.3, 1)
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,27 +62,76 @@ def _sums(slot: np.ndarray, value: np.ndarray, slots: int) -> np.ndarray:
 
 def signatures(key: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Checksums of the buckets of each set, and the set each belongs to. Two sets with a Jaccard similarity of percent / 100 or more have one in common."""
+    ratio, slack, small = _plan(percent)
     n = np.diff(at)
-    k = np.maximum(0, np.floor(np.log(np.maximum(n, 1)) / np.log(_RATIO) + 1e-9)).astype(np.int64)
+    k = np.maximum(0, np.floor(np.log(np.maximum(n, 1)) / np.log(ratio) + 1e-9)).astype(np.int64)
     out, whose = [], []
-    top = lambda k: np.floor(_RATIO ** (k + 1)).astype(np.int64) + 1  # noqa: E731  no set of the class is larger
+    top = lambda k: np.floor(ratio ** (k + 1)).astype(np.int64) + 1  # noqa: E731  no set of the class is larger
+    owner = np.repeat(np.arange(len(n)), n)
     for up in (0, 1):
         uses = (n > 0) if up == 0 else (n > 0) & (n * 100 >= percent * (top(k) - 1) - 100)
-        buckets = np.where(uses, 2 * top(k + up) * (100 - percent) // (100 + percent) + 1, 0)
+        most = 2 * top(k + up) * (100 - percent) // (100 + percent)
+        spare = (most * slack).astype(np.int64)
+        buckets = np.where(uses, most + 1 + spare, 0)
         base = np.cumsum(buckets) - buckets
-        owner = np.repeat(np.arange(len(n)), n)
         used = uses[owner]
         own, h = owner[used], key[used]
         slot = base[own] + ((h >> U(20)) % buckets[own].astype(U)).astype(np.int64)
         whom = np.repeat(np.arange(len(n)), buckets)
         bucket = np.arange(len(whom)) - base[whom]
-        sums = _sums(slot, mix(h ^ U(0x5851F42D4C957F2D)), len(whom))
+        sums, size = _sums(slot, mix(h ^ U(0x5851F42D4C957F2D)), len(whom)), np.bincount(slot, minlength=len(whom))
+        tiny = size <= small
+        skips = np.bincount(whom[tiny], minlength=len(n)) <= spare
+        send = ~(tiny & skips[whom])
         tag = mix((bucket.astype(U) << U(20)) + ((k + up)[whom].astype(U) << U(8)) + U(7))
-        out.append(mix(sums ^ tag))
-        whose.append(whom)
+        out.append(mix(sums ^ tag)[send])
+        whose.append(whom[send])
     return np.concatenate(out), np.concatenate(whose)
 
 
+def sketches(key: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
+    """Parity sketches: each shingle flips one bit of a power of two of bits, at least three for each difference allowed (64 at least)."""
+    n = np.diff(at)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(6 * n * (100 - percent) / (100 + percent), 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    slot = np.repeat(base, n) + (mix(key ^ U(0x2545F4914F6CDD1D)) & np.repeat(bits - 1, n).astype(U)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(odd, bitorder="little").tobytes()
+    return [raw[a // 8 : (a + b) // 8] for a, b in zip(base.tolist(), bits.tolist())]
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of fewer bits from a longer one: bits that meet are added modulo 2."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def possible_links(n: np.ndarray, sketch: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all sets of a group which their sketches don't tell apart."""
+    size = min(map(len, sketch))
+    x = np.stack([_folded(s, size) for s in sketch]).view(U)
+    parent = np.arange(len(n))
+    edges: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return int(i)
+
+    step = max(1, (1 << 21) // max(1, len(n) * x.shape[1]))
+    for a in range(0, len(n), step):
+        far = np.bitwise_count(x[a : a + step, None, :] ^ x[None, a:, :]).sum(2, dtype=np.int64)
+        i, j = np.nonzero(far * (100 + percent) <= (n[a : a + step, None] + n[None, a:]) * (100 - percent))
+        for p, r in zip((i + a).tolist(), (j + a).tolist()):
+            if p < r and (u := find(p)) != (v := find(r)):
+                parent[max(u, v)] = min(u, v)
+                edges.append((p, r))
+    return edges
+
+
 class Trie:
     """Sets as paths of ascending hashes; a stretch without a branch is one array."""
 
@@ -210,11 +263,11 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
                     sums, whose = signatures(key, begin, percent)
                     order = np.argsort(whose, kind="stable")
                     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose[order], np.arange(len(n) + 1)), pa.int32()), pa.array(sums[order].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), d1, d2, lists], names=["id", "n", "d1", "d2", "sums"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), d1, d2, lists, pa.array(sketches(key, begin, percent), pa.binary())], names=["id", "n", "d1", "d2", "sums", "sketch"])
 
         return run
 
-    rows = cut(own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan(False), f"id {id_type}, n long, d1 long, d2 long, sums array<long>"), "sets")
+    rows = cut(own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan(False), f"id {id_type}, n long, d1 long, d2 long, sums array<long>, sketch binary"), "sets")
     # Equal sets have equal 128-bit digests; written once, a class keeps its number.
     classes = cut(rows.where("n > 0").groupBy(*digest_of).agg(F.min("id").alias("least")).withColumn("key", F.monotonically_increasing_id()), "classes")
     first = rows.where("n > 0").join(classes, digest_of).where(F.col("id").eqNullSafe(F.col("least")))
@@ -225,16 +278,40 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
     groups = postings.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x2")).where("size > 1")
     groups = groups.groupBy("size", "x1", "x2").agg(F.min("g").alias("g")).select("g", "size")  # groups of the same classes once
     members = cut(postings.join(groups, "g"), "members")
-    active = members.groupBy("key").agg(F.max(F.struct("size", "g")).alias("most"))
+    # Members of a group that sketches don't tell apart, and all of a large group, are a family: what can be linked is in one.
+    sketched = members.join(first.select("key", "n", "sketch"), "key")
+    near = sketched.where(F.col("size") <= 8 * at_once)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def pairs() -> list[tuple[int, int]]:
+            edges = possible_links(np.array([x[1] for x in held]), [x[2] for x in held], percent) if len(held) > 1 else []
+            return [(held[i][0], held[j][0]) for i, j in edges]
+
+        for batch in batches:
+            found = []
+            for g, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if g != group:
+                    found += pairs()
+                    group, held = g, []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found = pairs()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    ties = near.repartition("g").sortWithinPartitions("g", "key").select("g", "key", "n", "sketch").mapInArrow(tie, "a long, b long")
+    hot = members.where(F.col("size") > 8 * at_once)
+    ties = cut(ties.unionByName(hot.join(hot.groupBy("g").agg(F.min("key").alias("b")), "g").select(F.col("key").alias("a"), "b")).where("a <> b").distinct(), "ties")
+    comps = components(ties)
+    family = comps.select(F.col("id").alias("key"), F.col("component").alias("family")).unionByName(comps.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct())
+    members = members.join(family.select("key"), "key", "left_semi")
+    active = cut(members.groupBy("key").agg(F.max(F.struct("size", "g")).alias("most")), "active")
     wanted = active.join(classes, "key").select("key", F.col("least").alias("id"))
     texts = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("key", "text")
     sets = cut(texts.mapInArrow(scan(True), "key long, shingles binary"), "active_sets")
 
-    # Classes that groups connect are a family; one of at most ``at_once`` classes is one trie, each set sent once.
-    ties = members.join(members.groupBy("g").agg(F.min("key").alias("b")), "g").select(F.col("key").alias("a"), "b")
-    family = components(ties).select(F.col("id").alias("key"), F.col("component").alias("family"))
-    kin = active.select("key").join(family, "key", "left").withColumn("family", F.coalesce("family", "key"))
-    kin = cut(kin.join(kin.groupBy("family").agg(F.count("*").alias("kin")), "family"), "families")
+    kin = cut(family.join(family.groupBy("family").agg(F.count("*").alias("kin")), "family"), "families")
     few = kin.where(F.col("kin") <= at_once).select(F.col("family").alias("g"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key", F.col("key").alias("comp"))
     held = _merge(kin.select("key", F.col("key").alias("comp")), _links(few.join(sets, "key"), percent))
     large = kin.where(F.col("kin") > at_once).select("key")
