@@ -24,21 +24,22 @@ from .textscan import LOWER, SPACE, RaggedCache, hashes, pieces
 _worker: dict = {}
 
 # Byte classes of text before pre-tokenisation. A word may be cut between letters and ASCII
-# punctuation or digits: no token, composition or contraction spans such a place.
+# punctuation or digits: no token, composition or contraction spans such a place. Letters are ASCII
+# and Latin-1 ones; lower-casing others can make marks, so nothing is cut beside them.
 _BLANK, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[SPACE] = _BLANK
 _CLASS[0x21:0x7F] = _MARK
 _CLASS[ord("'")] = _OTHER
-for _a, _b in ((65, 91), (97, 123), (0xC3, 0xCA)):
+for _a, _b in ((65, 91), (97, 123), (0xC3, 0xC4)):
     _CLASS[_a:_b] = _LETTER
 
 
 def chunk_bounds(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of chunks whose tokens don't depend on what stands around them."""
     kind = _CLASS[buf]
-    latin = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] < 0xCA))
-    sign = latin[(buf[latin] == 0xC3) & ((buf[latin + 1] == 0x97) | (buf[latin + 1] == 0xB7))]
+    latin = np.flatnonzero(buf[:-1] == 0xC3)
+    sign = latin[(buf[latin + 1] == 0x97) | (buf[latin + 1] == 0xB7)]
     kind[latin + 1] = _LETTER
     kind[sign] = kind[sign + 1] = _OTHER
     edge = np.zeros(len(buf) + 1, bool)
