@@ -189,8 +189,8 @@ class Trie:
             stack.extend((child, at, shared) for child in node.below.values())
 
 
-def _links(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, found group by group.
+def _links(groups: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """Links (a, b) between components, found group by group; with ``whole``, where no component is in two groups, each component and the least one that it is linked to.
 
     Takes rows (g, salt, kind, key, comp, shingles): of a group, rows of kind 0 enter the trie (each
     after probing it), rows of kind 1 only probe it. Once two components are linked in a group,
@@ -206,17 +206,22 @@ def _links(groups: DataFrame, percent: int) -> DataFrame:
                 c = parent[c]
             return c
 
+        def roots() -> list[tuple[int, int]]:
+            return [(c, find(c)) for c in dict.fromkeys(comps) if find(c) != c] if whole else []
+
         for batch in batches:
             links = []
             for g, salt, kind, comp, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (g, salt) != group:
+                    links += roots()
                     group, trie, sizes, comps, parent = (g, salt), Trie(np.zeros(0, U), 1 << 60, 0), [], [], {}
                 x = np.frombuffer(raw, "<u8")
                 own = find(comp)
                 for name, shared in trie.probe(x, percent, lambda name: find(comps[name]) == own):  # noqa: B023
                     other = find(comps[name])
                     if other != own and 100 * shared >= percent * (len(x) + sizes[name] - shared):
-                        links.append((comp, comps[name]))
+                        if not whole:
+                            links.append((comp, comps[name]))
                         parent[max(own, other)] = min(own, other)
                         own = find(comp)
                 if kind == 0:
@@ -224,6 +229,8 @@ def _links(groups: DataFrame, percent: int) -> DataFrame:
                     sizes.append(len(x))
                     comps.append(comp)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        links = roots()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows = groups.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "key").select("g", "salt", "kind", "comp", "shingles")
     with arrow_batches(groups.sparkSession, 256):
@@ -274,7 +281,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
     postings = first.select("key", F.explode("sums").alias("g"))
     # One shuffle of (group, class); nearly all groups hold one class and end here.
     postings = postings.withColumn("size", F.count("*").over(Window.partitionBy("g"))).where("size > 1")
-    postings = cut(postings.select("g", "key").distinct(), "postings")
+    postings = cut(postings.select("g", "key"), "postings")
     groups = postings.groupBy("g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("x1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x2")).where("size > 1")
     groups = groups.groupBy("size", "x1", "x2").agg(F.min("g").alias("g")).select("g", "size")  # groups of the same classes once
     members = cut(postings.join(groups, "g"), "members")
@@ -302,21 +309,19 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
 
     ties = near.repartition("g").sortWithinPartitions("g", "key").select("g", "key", "n", "sketch").mapInArrow(tie, "a long, b long")
     hot = members.where(F.col("size") > 8 * at_once)
-    ties = cut(ties.unionByName(hot.join(hot.groupBy("g").agg(F.min("key").alias("b")), "g").select(F.col("key").alias("a"), "b")).where("a <> b").distinct(), "ties")
+    ties = cut(ties.unionByName(hot.join(hot.groupBy("g").agg(F.min("key").alias("b")), "g").select(F.col("key").alias("a"), "b")).where("a <> b"), "ties")
     comps = components(ties)
     family = comps.select(F.col("id").alias("key"), F.col("component").alias("family")).unionByName(comps.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct())
-    members = members.join(family.select("key"), "key", "left_semi")
-    active = cut(members.groupBy("key").agg(F.max(F.struct("size", "g")).alias("most")), "active")
-    wanted = active.join(classes, "key").select("key", F.col("least").alias("id"))
+    wanted = family.select("key").join(classes, "key").select("key", F.col("least").alias("id"))
     texts = own.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("key", "text")
     sets = cut(texts.mapInArrow(scan(True), "key long, shingles binary"), "active_sets")
 
     kin = cut(family.join(family.groupBy("family").agg(F.count("*").alias("kin")), "family"), "families")
     few = kin.where(F.col("kin") <= at_once).select(F.col("family").alias("g"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key", F.col("key").alias("comp"))
-    held = _merge(kin.select("key", F.col("key").alias("comp")), _links(few.join(sets, "key"), percent))
+    held = _merge(kin.select("key", F.col("key").alias("comp")), _links(few.join(sets, "key"), percent, whole=True), named=True)
     large = kin.where(F.col("kin") > at_once).select("key")
     if not large.isEmpty():
-        held = _link_large(members.join(large, "key", "left_semi"), active.join(large, "key", "left_semi"), sets, held, percent, at_once)
+        held = _link_large(cut(members.join(large, "key", "left_semi"), "large"), sets, held, percent, at_once)
 
     named = classes.join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -326,14 +331,14 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3, at_onc
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _link_large(members: DataFrame, active: DataFrame, sets: DataFrame, held: DataFrame, percent: int, at_once: int) -> DataFrame:
+def _link_large(members: DataFrame, sets: DataFrame, held: DataFrame, percent: int, at_once: int) -> DataFrame:
     """Components after the links of families too large for one trie, group by group."""
     salts = lambda size: F.ceil(F.col(size) / at_once)
     salt = lambda size: F.pmod(F.xxhash64("key"), salts(size))
     # 1. each class in its largest group
-    first = active.select("key", F.col("most.g").alias("g"), F.col("most.size").alias("size"))
+    first = members.groupBy("key").agg(F.max(F.struct("size", "g")).alias("most")).select("key", "most.g", "most.size")
     first = first.withColumn("salt", salt("size")).withColumn("comp", F.col("key")).withColumn("kind", F.lit(0))
-    held = _merge(held, _links(first.join(sets, "key"), percent))
+    held = _merge(held, _links(first.join(sets, "key"), percent, whole=True), named=True)
     # 2. one class of each component in each group
     now = members.join(held, "key").groupBy("g", "comp").agg(F.min("key").alias("key"))
     many = now.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
@@ -349,9 +354,9 @@ def _link_large(members: DataFrame, active: DataFrame, sets: DataFrame, held: Da
     return _merge(held, _links(third.join(sets, "key"), percent))
 
 
-def _merge(held: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (key, comp) after their links are joined in."""
-    merged = components(links).select(F.col("id").alias("comp"), F.col("component").alias("into"))
+def _merge(held: DataFrame, links: DataFrame, named: bool = False) -> DataFrame:
+    """Components (key, comp) after their links are joined in; ``named``: the links lead to the least of each component already."""
+    merged = links.select(F.col("a").alias("comp"), F.col("b").alias("into")) if named else components(links).select(F.col("id").alias("comp"), F.col("component").alias("into"))
     return cut(held.join(merged, "comp", "left").select("key", F.coalesce("into", "comp").alias("comp")), "held")
 
 
