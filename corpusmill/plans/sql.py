@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     "bm25_multifield": f"""WITH {FIELDS}, {ASKED}, {STATS}, s1 AS (SELECT query_id, page_id, intent, n, sum(score * {_FIELD} * {_MULT}) AS s FROM fs JOIN asked USING (query_id) GROUP BY ALL),
   s2 AS (SELECT s1.*, title, type, status, {normal('title')} AS tn, {normal('source')} AS an, {normal("lang || ':' || source")} AS cn FROM s1 JOIN pg USING (page_id)),
   s3 AS (SELECT query_id, page_id, title, intent, round(s * {case('type', X.TYPE_WEIGHTS, 0.7)} * {case('status', X.STATUS_WEIGHTS, 0.8)} * CASE WHEN n = '' THEN 1.0 WHEN tn = n THEN 1.35 WHEN cn = n THEN 1.3 WHEN an = n THEN 1.25 ELSE 1.0 END * CASE WHEN intent = 'timeline' AND status = 'stable' THEN 1.05 ELSE {_KIND} END, 6) AS score FROM s2)
-  SELECT query_id::INT AS query_id, row_number() OVER w::INT AS rank, page_id, intent, score FROM s3 WHERE score > 0 QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, title DESC, page_id)""",
+  SELECT query_id::INT AS query_id, row_number() OVER w::INT AS rank, page_id, intent, score FROM s3 WHERE score > 0 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, title DESC, page_id) QUALIFY row_number() OVER w <= 5""",
     "query_intents": f"WITH a AS (SELECT coalesce(text, '') AS t, {normal(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS n FROM conversations WHERE role = 'user') SELECT {intent('t', 'n')} AS intent, count(*) AS turns FROM a GROUP BY 1",
     "alias_conflicts": f"""WITH a AS (SELECT doc_id, coalesce(substr(string_split(text, chr(10))[1], 1, 60), '') AS alias, 'src:' || source AS c FROM documents UNION ALL SELECT doc_id, lang, 'src:' || source FROM documents), b AS (SELECT DISTINCT doc_id, {normal('alias')} AS alias, c FROM a), g AS (SELECT alias, list_sort(list_distinct(list(c))) AS cs, count(DISTINCT doc_id) AS pages FROM b WHERE alias <> '' GROUP BY alias)
   SELECT alias, len(cs)::BIGINT AS canonicals, pages, sha256({normal('alias')} || '::' || array_to_string(cs, '|')) AS signature FROM g WHERE len(cs) > 1""",
