@@ -186,11 +186,11 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): the directions, in double precision, of vectors that aren't null or zero and hold finite numbers alone."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    most = F.array_max(F.transform(v, F.abs))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), v.alias("v"), most.alias("most")).where("most > 0")
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.col("most")))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  f of a value that is computed once
+    scaled = once(F.struct(v.alias("v"), F.array_max(F.transform(v, F.abs)).alias("most")), lambda s: F.when(s["most"] > 0, F.transform(s["v"], lambda x: x / s["most"])))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), scaled.alias("v")).where("v IS NOT NULL")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm") + 0.0).alias("v"))
+    return rows.select("id", once(F.struct("v", norm.alias("norm")), lambda s: F.transform(s["v"], lambda x: x / s["norm"] + 0.0)).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
