@@ -4,12 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import claims as C
-from corpusmill.operators import reviews as R
 from corpusmill.operators import search as X
 from corpusmill.operators import similarity as N
 from corpusmill.operators import structure as S
 from corpusmill.sources import files, tables
-from corpusmill.streaming import incremental as I
 
 NOTE = """# 运营工作说明
 
@@ -72,31 +70,6 @@ def test_similarity(spark, left, right, similar):
         assert got[0].kind == "claim_conflict"
 
 
-def test_retraction_and_reviews(spark):
-    src = sources(spark, "One claim that stands.\nShared claim of two notes.", "Shared claim of two notes.")
-    _, _, units = S.compile_structure(src)
-    merged = C.merge_claims(C.claims(units, S.chunks(src)))
-    gone = src.where("ord = 0").select("source_id")
-    kept, history = R.retract_sources(merged, gone)
-    assert kept.count() == 1 or history.count() >= 1
-    assert all(gone.first().source_id not in r.source_ids for r in kept.collect())
-
-
-def test_incremental_equals_batch(spark, tmp_path):
-    a, b = "First note has a claim.", "Second note has another claim."
-    store = I.Store(spark, str(tmp_path / "s"))
-    both = sources(spark, a, b)
-    I.apply_batch(store, both.where("ord = 0"))
-    I.apply_batch(store, both)
-    assert I.apply_batch(store, both) is None
-    one = I.Store(spark, str(tmp_path / "t"))
-    I.apply_batch(one, both)
-    key = lambda s: sorted((r.claim_id, r.text) for r in I.merged_claims(s).collect())
-    assert key(store) == key(one) and len(key(one)) == 2
-    I.tombstones(store, both.where("ord = 0"))
-    assert len(key(store)) == 1
-
-
 def test_intents_and_converters(spark):
     got = X.queries_frame(spark, ["How to trace", "what is x", "resource", "plain"]).orderBy("query_id").collect()
     assert [r.intent for r in got] == ["how_to", "definition", "evidence", "lookup"]
