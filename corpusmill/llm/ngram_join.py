@@ -112,23 +112,20 @@ def possible_links(n: np.ndarray, sketch: list[bytes], percent: int) -> list[tup
     """Edges that connect all sets of a group which their sketches don't tell apart."""
     size = min(map(len, sketch))
     x = np.stack([_folded(s, size) for s in sketch]).view(U)
-    parent = np.arange(len(n))
+    label = np.arange(len(n))
     edges: list[tuple[int, int]] = []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    step = max(1, (1 << 21) // max(1, len(n) * x.shape[1]))
+    step = max(1, (1 << 16) // max(1, len(n) * x.shape[1]))
     for a in range(0, len(n), step):
         far = np.bitwise_count(x[a : a + step, None, :] ^ x[None, a:, :]).sum(2, dtype=np.int64)
         i, j = np.nonzero(far * (100 + percent) <= (n[a : a + step, None] + n[None, a:]) * (100 - percent))
-        for p, r in zip((i + a).tolist(), (j + a).tolist()):
-            if p < r and (u := find(p)) != (v := find(r)):
-                parent[max(u, v)] = min(u, v)
-                edges.append((p, r))
+        i, j = i + a, j + a
+        # What is connected already leaves; then all of one set's new neighbours come in at once.
+        while len(new := np.flatnonzero(label[i] != label[j])):
+            i, j = i[new], j[new]
+            p = int(i[0])
+            labels, first = np.unique(label[j[: np.searchsorted(i, p, "right")]], return_index=True)
+            edges.extend((p, int(j[k])) for k in first)
+            label[np.isin(label, labels)] = label[p]
     return edges
 
 
