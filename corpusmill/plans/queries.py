@@ -121,8 +121,8 @@ def document_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = D.table(spark, d, "documents")
     text = F.coalesce("text", F.lit(""))
     return rows.select(
-        F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.substring(F.split(text, "\n")[0], 1, 60).alias("title"), F.array("source").alias("aliases"), F.array("lang", "source").alias("hierarchy"), T.summary(text).alias("summary"),
-        F.slice(F.split(text, "\n"), 1, 3).alias("claim_texts"), F.array(F.concat_ws("/", F.lit("raw"), "source")).alias("source_paths"), F.when(F.col("doc_id") % 3 == 0, "concept").when(F.col("doc_id") % 3 == 1, "source-summary").otherwise("topic").alias("type"),
+        F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.split(text, "\n")[0].alias("title"), F.array("source").alias("aliases"), F.array("lang", "source").alias("hierarchy"), T.summary(text).alias("summary"),
+        F.split(text, "\n").alias("claim_texts"), F.array(F.concat_ws("/", F.lit("raw"), "source")).alias("source_paths"), F.when(F.col("doc_id") % 3 == 0, "concept").when(F.col("doc_id") % 3 == 1, "source-summary").otherwise("topic").alias("type"),
         F.when(F.col("doc_id") % 2 == 0, "stable").otherwise("draft").alias("status"), F.concat_ws(":", "lang", "source").alias("canonical_id"), text.alias("page_text"), F.array("source").alias("source_ids"), F.array(F.col("doc_id").cast("string")).alias("claim_ids"),
     )
 
@@ -175,7 +175,7 @@ def _web_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """2.9.21, 2.9.22: aliases that name more than one canonical id."""
-    rows = D.table(spark, d, "documents").select(F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.coalesce(F.substring(F.split("text", "\n")[0], 1, 60), F.lit("")).alias("title"), F.array("lang").alias("aliases"), F.concat_ws(":", F.lit("src"), "source").alias("canonical_id"))
+    rows = D.table(spark, d, "documents").select(F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.coalesce(F.split("text", "\n")[0], F.lit("")).alias("title"), F.array("lang").alias("aliases"), F.concat_ws(":", F.lit("src"), "source").alias("canonical_id"))
     return G.alias_conflicts(rows).select("alias", F.size("canonical_ids").cast("long").alias("canonicals"), "pages", F.sha2(F.col("signature").cast("binary"), 256).alias("signature"))
 
 
