@@ -129,7 +129,7 @@ def document_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
     """2.7.18: document frequencies by field."""
-    return X.document_frequency(X.postings(X.page_fields(document_pages(spark, d)).where("field IN ('title', 'summary', 'aliases')")))
+    return X.document_frequency(X.postings(X.page_fields(document_pages(spark, d))))
 
 
 def field_statistics(spark: SparkSession, d: str) -> DataFrame:
