@@ -15,6 +15,8 @@ from .common import components, cut
 LINKS, GROUND, BUILD_BEAM = 12, 24, 48
 #: Further places on the ground for links to vertices that no path reached.
 SPARE = 4
+#: Vertices of at most so many links are audited apart.
+FEW = 8
 
 
 class Graph:
@@ -57,9 +59,9 @@ class Graph:
         return g
 
     def _reach_all(self) -> None:
-        """Link what can't be reached from the entry on the ground to its nearest vertex that can."""
-        ground = self.links[0]
-        for _ in range(16):
+        """Link what can't be reached from the entry on the ground to its nearest vertex that can, until nothing is lost; places are added when all are full."""
+        while len(self.x):
+            ground = self.links[0]
             reached = np.zeros(len(self.x), bool)
             front = np.array([self.entry])
             while len(front):
@@ -71,12 +73,16 @@ class Graph:
             if not len(lost):
                 return
             near, _ = self._beam(self.x[lost], np.full(len(lost), self.entry), 0, 8)
+            linked = False
             for v, to in zip(lost.tolist(), near.tolist()):
                 for u in to:
                     free = np.flatnonzero(ground[u, GROUND:] < 0) if u >= 0 else ()
                     if len(free):
                         ground[u, GROUND + free[0]] = v
+                        linked = True
                         break
+            if not linked:
+                self.links[0] = np.concatenate([ground, np.full((len(ground), SPARE), -1, np.int32)], axis=1)
 
     def _select(self, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
         """Up to m of each row's candidates: nearest first, those nearer to a chosen one only to fill up."""
@@ -163,18 +169,23 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def within(self, q: np.ndarray, least: float, width: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vertex) pairs of at least a similarity; beams that are full of such vertices are widened."""
+        """(query, vertex) pairs of at least a similarity; beams that are full of such vertices are widened, and one as wide as the graph compares with all vertices."""
         q = q.astype(np.float32)
         todo, found = np.arange(len(q)), []
         while len(todo):
+            if width >= len(self.x):
+                for a in range(0, len(todo), 256):
+                    b, c = np.nonzero(q[todo[a : a + 256]] @ self.x.T >= least)
+                    found.append((todo[a + b], c))
+                break
             again = []
             for a in range(0, len(todo), 256):
                 part = todo[a : a + 256]
                 at = np.full(len(part), self.entry)
                 for k in range(len(self.links) - 1, 0, -1):
                     at = self._beam(q[part], at, k, 1)[0][:, 0]
-                ids, sims = self._beam(q[part], at, 0, min(width, max(1, len(self.x))), own[part])
-                full = (sims[:, -1] >= least) & (width < len(self.x))
+                ids, sims = self._beam(q[part], at, 0, width, own[part])
+                full = sims[:, -1] >= least
                 again.append(part[full])
                 b, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
                 found.append((part[b], ids[b, c]))
@@ -200,6 +211,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _planted(wanted: list[tuple[int, list[float]]], least: float, below: int) -> list[tuple[int, list[float]]]:
+    """For each unit vector a query turned from it, by chance, to just over a similarity, under ids below all others."""
+    rng, out = np.random.default_rng(3), []
+    share = least + 0.02 * (1 - least)
+    for k, (_, v) in enumerate(wanted):
+        x = np.array(v)
+        turn = rng.normal(size=len(x))
+        turn -= (turn @ x) * x
+        size = np.linalg.norm(turn)
+        q = share * x + np.sqrt(1 - share * share) * turn / size if len(x) > 1 and size > 1e-9 else x
+        out.append((below - 1 - k, q.tolist()))
+    return out
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_000, recall: float = 0.99, first_beam: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id) of every row, by cosine of at least ``least`` in double precision.
 
@@ -207,7 +232,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     them and as many as keep a shard near ``shard_rows``; a graph is built for each shard and
     written to the shared folder; every vertex then queries every shard. The beam is doubled until
     an audit of at most about 2048 vertices, compared with all vertices by brute force, finds
-    the share ``recall`` of their links; beams that fill up with links widen on their own. Found
+    the share ``recall`` of each vertex's links on average, over vertices of few links and of many
+    apart, and over queries planted at about the similarity ``least`` from audited vertices, so that
+    large groups hide nothing and tables with rare links are audited too; a beam as wide as a
+    graph compares with all its vertices. Beams that fill up with links widen on their own. Found
     pairs are verified in double precision and joined to components.
 
     Vectors that are null or zero or hold null or non-finite components link with nothing; vectors
@@ -255,6 +283,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     share = min(1.0, 2048 / max(n, 1))
     audit = cut(classes.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))), "audit")
     wanted = [(r.id, list(r.v)) for r in audit.select("id", "v").collect()]  # at most about 2048
+    planted = _planted(wanted, least, classes.agg(F.least(F.min("id"), F.lit(0))).first()[0])
+    audit = audit.select("id", "v", "dim").unionByName(spark.createDataFrame([(i, v, len(v)) for i, v in planted], "id long, v array<double>, dim int"))
+    named = [i for i, _ in wanted]
+    wanted += planted
     sample = spark.sparkContext.broadcast({d: (np.array([i for i, v in wanted if len(v) == d]), np.array([v for _, v in wanted if len(v) == d])) for d in {len(v) for _, v in wanted}})
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +301,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], names[j])[ok]), pa.array(np.maximum(ids[i], names[j])[ok])], names=["a", "b"])
 
     truth = cut(classes.select("id", "v").mapInArrow(brute, "a long, b long").distinct(), "audit_links")
-    there, beam = truth.count(), first_beam
-    while there and beam < n:
-        if search(audit, beam, 1).join(truth, ["a", "b"]).count() >= recall * there:
+    ids = spark.createDataFrame([(i, False) for i in named] + [(i, True) for i, _ in planted], "id long, planted boolean")
+    by_vertex = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b").join(F.broadcast(ids), "id")
+    beam = first_beam
+    while beam < n:
+        hits = by_vertex(truth.join(search(audit, beam, 1), ["a", "b"])).groupBy("id").agg(F.count("*").alias("hits"))
+        shares = by_vertex(truth).groupBy("id", "planted").agg(F.count("*").alias("links")).join(hits, "id", "left")
+        shares = shares.groupBy("planted", (F.col("links") <= FEW).alias("few")).agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("links")).alias("found"))
+        if all(r.found >= recall for r in shares.collect()):  # four at most
             break
         beam *= 2
     links = cut(search(classes, beam, parts), "links")
