@@ -110,10 +110,13 @@ def _distinct_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """2.6.2 to 2.6.5, 2.2.14: near-duplicate and contradicting claims of pages and conversations' first lines as reviews."""
-    sources = D.pages(spark, d)
-    _, _, units = S.compile_structure(sources)
-    return N.claim_reviews(C.merge_claims(C.claims(units, S.chunks(sources)))).select("review_id", "kind", "recommended_action", F.size("candidate_claim_ids").cast("long").alias("candidates"))
+    """2.6.2 to 2.6.5, 2.2.14: near-duplicate and contradicting claims of pages, documents and conversations as reviews."""
+    columns = ("source_id", "source_path", "source_type", "ord", "title", "source_hash", "text")
+    chats = D.conversations(spark, d).select(*columns)
+    texts = D.pages(spark, d).select(*columns).unionByName(D.documents(spark, d).select(*columns))
+    _, _, units = S.compile_structure(texts.unionByName(chats))
+    chunks = S.chunks(texts).unionByName(S.chunks(chats, "chat_turn"))
+    return N.claim_reviews(C.merge_claims(C.claims(units, chunks))).select("review_id", "kind", "recommended_action", F.size("candidate_claim_ids").cast("long").alias("candidates"))
 
 
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
