@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, word_count
+from .common import chosen_rows, cut, prefix_sums, row_key, word_count
 
 #: Expected copies are counted in these parts of one copy, so sums are exact.
 PARTS = 1 << 24
@@ -38,35 +38,40 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return level.select("source_key", "source_size", target.alias("target"))
 
 
-def systematic_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document enters the mix: (id, size, source_size, target, copies, taken).
+def systematic_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row: Column | None = None) -> DataFrame:
+    """How often each document enters the mix: (id, size, source_size, target, copies, taken, text_crc32, source_key, row).
 
     Each document of a source expects target / source_size copies. Documents stand in order of
-    (words, id, text checksum) within their source, which spreads the sample evenly over sizes;
+    (words, id, text checksum, ``row``) within their source, which spreads the sample evenly over sizes;
     the expected copies before a document, plus one offset per source drawn from ``seed``, give
     its copies: one for each whole number crossed. Copies never exceed ``cap``, rounded up. All sums are integers, so
     reruns agree. Null texts have size 0, null sources are a source of their own (last); repeated
     rows count each; an empty table gives no rows; sources without words have target 0.
     """
     source = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    sized = docs.select(F.col(id_col), word_count(text_col).alias("size"), source.alias("source_key"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).alias("_crc"))
-    rows = prefix_sums(sized, ["source_key"], ["size", id_col, "_crc"], ["size"])
+    sized = docs.select(F.col(id_col), word_count(text_col).alias("size"), source.alias("source_key"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).alias("text_crc32"), (F.lit(0) if row is None else row).cast("long").alias("row"))
+    sized = sized.withColumnRenamed(id_col, "id")
+    rows = prefix_sums(sized, ["source_key"], ["size", "id", "text_crc32", "row"], ["size"])
     targets = source_targets(rows.groupBy("source_key").agg(F.max("all_size").alias("source_size")), weights, share, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("source_key")).cast("binary")), 1, 6), 16, 10).cast("long")
     each = F.coalesce(F.floor(F.col("target") * PARTS / F.col("source_size") + 0.5), F.lit(0)).cast("long")
     targets = targets.withColumn("_each", F.when(F.col("source_size") > 0, each).otherwise(0)).withColumn("_offset", offset)
     out = rows.join(targets, "source_key").withColumn("_start", F.col("index") * F.col("_each") + F.col("_offset"))
     out = out.withColumn("copies", F.expr(f"(_start + _each) div {PARTS} - _start div {PARTS}"))
-    return out.select(id_col, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc32"), "source_key")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_crc32", "source_key", "row")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row, with all its columns, as often as systematic_mix says. Rows that repeat an id and text count as copies of one of them."""
-    found = systematic_mix(docs, id_col=id_col, text_col=text_col, **options)
-    copies = found.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_sum")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_crc", F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)))
-    rows = rows.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_sum"))).dropDuplicates([id_col, "_crc"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row, with all its columns, as often as systematic_mix says.
+
+    Rows that repeat an id or a text but differ in any column are rows of their own; rows that are
+    equal in all columns come as often as all of them together should. Columns of any names pass
+    through. Rows without words are drawn like others; an empty table gives no rows.
+    """
+    found = systematic_mix(docs, row=row_key(docs), **options)
+    rows = cut(found.groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("times")).where("copies > 0"), "copies")
+    taken, copies = chosen_rows(docs, rows, "copies")
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

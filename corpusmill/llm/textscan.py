@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -72,6 +73,36 @@ def word_bounds(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
+def word_hashes(buf: np.ndarray, at: np.ndarray, table: np.ndarray, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, bytes mapped by ``table`` first, and where each text's begin.
+
+    A text of more than ``most`` bytes must be alone; it is worked through in stretches of so many
+    that end between words, so that little but its words' hashes is held at once.
+    """
+    if len(buf) <= most:
+        starts, ends = word_bounds(buf, at)
+        return hashes(table[buf], starts, ends), np.searchsorted(starts, at)
+    found, a = [np.zeros(0, U)], 0
+    while a < len(buf):
+        part = buf[a : a + most + 1]
+        if len(part) > most:
+            gaps = np.flatnonzero(SPACE[part])
+            if not len(gaps):  # one word: its end is beyond
+                end = a + most
+                while end < len(buf) and not SPACE[buf[end]]:
+                    step = np.flatnonzero(SPACE[buf[end : end + most]])
+                    end = end + int(step[0]) if len(step) else min(len(buf), end + most)
+                found.append(np.array([xxhash.xxh64_intdigest(table[buf[a:end]].tobytes())], U))
+                a = end
+                continue
+            part = part[: gaps[-1] + 1]
+        starts, ends = word_bounds(part, np.array([0, len(part)]))
+        found.append(hashes(table[part], starts, ends))
+        a += len(part)
+    h = np.concatenate(found)
+    return h, np.array([0, len(h)])
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, ... of each run, one run after another."""
     total = int(lens.sum())

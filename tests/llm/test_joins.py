@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from corpusmill.llm import embedding_dedup, ngram_join, topk_search
+from corpusmill.llm import embedding_dedup, ngram_join, textscan, topk_search
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +60,49 @@ def test_ngram_edge_cases(docs, no_docs):
     assert ngram_join.similar_documents(no_docs).count() == 0
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 4, 5, 6, 7, 8, 9]
+    assert ngram_join.one_of_each(no_docs).count() == 0
+
+
+def test_ngram_null_and_shared_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    rows = frame([(None, a, "k"), (6, a + " x", "k"), (None, b, "k"), (None, b + " y", "k"), (5, a + " z", "k"), (5, "another text altogether", "k"), (8, a, "k"), (8, a, "k")])
+    got = ngram_join.similar_documents(rows)
+    assert sorted((r.component_id is None, r.component_id) for r in got.collect()) == [(False, 5)] * 6 + [(True, None)] * 2
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each(rows).collect())
+    assert [k for k in kept if k[0]] == [(5, a + " z"), (5, "another text altogether")] and len(kept) == 3
+    # wordless rows stay; of equal rows one does
+    rows = frame([(1, " ", "k"), (1, " ", "k"), (2, None, "k"), (3, a, "k"), (3, a, "k")])
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(rows).collect()) == [1, 1, 2, 3]
+
+
+def test_large_groups_by_parts(spark, monkeypatch):
+    """One large near-copy group and one passage that many documents share, with parts of 16 sets and tries of 8."""
+    monkeypatch.setattr(ngram_join, "HELD", 16)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base, passage = rng.choices(vocabulary, k=120), rng.choices(vocabulary, k=60)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join(passage + rng.choices(vocabulary, k=rng.randint(0, 20)))))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5, 8)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 80, 5))
+
+
+def test_words_of_long_texts():
+    """Stretches give the hashes that a whole text gives, but for words longer than a stretch."""
+    words = [b"a" * n for n in (1, 5, 40, 3, 64, 7, 1, 63, 2)] * 3
+    text = np.frombuffer(b"  " + b" ".join(words) + b" ", np.uint8)
+    at = np.array([0, len(text)])
+    whole, _ = textscan.word_hashes(text, at, textscan.LOWER)
+    cut, first = textscan.word_hashes(text, at, textscan.LOWER, most=64)
+    assert (whole == cut).all() and first[1] == 27
+    short, _ = textscan.word_hashes(text, at, textscan.LOWER, most=50)
+    assert [a == b for a, b in zip(whole, short)] == [len(w) <= 50 for w in words] and len(set(short.tolist())) == len(set(whole.tolist()))
 
 
 def vectors(n=700, d=16, seed=3):
