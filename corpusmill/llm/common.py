@@ -79,6 +79,7 @@ def chosen_rows(df: DataFrame, chosen: DataFrame, extra: str | None = None) -> t
     """Rows of ``df`` whose row_key is in ``chosen`` (row, times, extra), one of those that are equal; ``extra`` is added under the name that is returned.
 
     ``times`` says how many rows have the key, so only rows that repeat are compared as a whole.
+    ``chosen`` grows with ``df``, so both are shuffled, at any size.
     """
 
     def free(name: str) -> str:
@@ -87,7 +88,7 @@ def chosen_rows(df: DataFrame, chosen: DataFrame, extra: str | None = None) -> t
         return name
 
     key, name = free("row_key"), extra and free(extra)
-    part = lambda which: df.join(chosen.where(which).select(F.col("row").alias(key), *([F.col(extra).alias(name)] if extra else [])), row_key(df) == F.col(key)).drop(key)
+    part = lambda which: df.join(chosen.where(which).select(F.col("row").alias(key), *([F.col(extra).alias(name)] if extra else [])).hint("merge"), row_key(df) == F.col(key)).drop(key)
     found = part("times = 1")
     if not chosen.where("times > 1").isEmpty():
         found = found.unionByName(part("times > 1").dropDuplicates(_hashed(df)))

@@ -29,6 +29,8 @@ from .textscan import LOWER, U, mix, pieces, ragged, word_hashes
 SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Sets of a group whose sketches one task holds.
 HELD = 4096
+#: Rows of keys (16 bytes each) that are sent to all tasks at most.
+SENT_ROWS = 1_000_000
 #: Bits of a sketch for each difference allowed: of the one that groups are compared by, and of the one that large families are.
 COARSE, FINE = 3, 12
 
@@ -285,6 +287,31 @@ def _links(groups: DataFrame, percent: int, whole: bool = False) -> DataFrame:
         return cut(rows.mapInArrow(run, "a long, b long"), "links")
 
 
+def _few_ties(batch: pa.RecordBatch, first: np.ndarray, last: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The same for groups of at most four rows from first to last: all pairs that aren't told apart, each once."""
+    key, n, column = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data, size = np.frombuffer(column.buffers()[2], np.uint8), np.diff(at)
+    pairs = [(first[last - first > j] + i, first[last - first > j] + j) for j in range(1, 4) for i in range(j)]
+    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+    edges = []
+    for short, long_ in {*zip(size[i].tolist(), size[j].tolist())}:
+        if long_ * percent >= short * 200:
+            continue
+        own = np.flatnonzero((size[i] == short) & (size[j] == long_))
+        for a in range(0, len(own), max(1, (1 << 20) // long_)):
+            p, q = i[own[a : a + max(1, (1 << 20) // long_)]], j[own[a : a + max(1, (1 << 20) // long_)]]
+            x = data[at[p][:, None] + np.arange(short)]
+            y = np.bitwise_xor.reduce(data[at[q][:, None] + np.arange(long_)].reshape(len(q), -1, short), axis=1)
+            far = np.maximum(np.bitwise_count((x ^ y).view(U)).sum(1, dtype=np.int64), np.abs(n[p] - n[q]))
+            near = far * (100 + percent) <= (n[p] + n[q]) * (100 - percent)
+            edges.append(np.sort(np.stack([key[p[near]], key[q[near]]], 1), axis=1))
+    if edges:
+        ends = np.unique(np.concatenate(edges), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
 def _ties(groups: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect the sets of each (g, salt) which sizes and sketches don't tell apart.
 
@@ -312,6 +339,17 @@ def _ties(groups: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             found = []
+            g, salt, kind, key = (batch.column(i).to_numpy() for i in range(4))
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])]))
+            last = np.append(first[1:], len(g))
+            # Most groups are of a few sets and lie in one batch: they are compared all at once.
+            few = (last - first <= 4) & (np.maximum.reduceat(kind, first) == 0)
+            few[[0, -1]] = False
+            yield from _few_ties(batch, first[few], last[few], percent)
+            rows = np.zeros(len(g) + 1, int)
+            np.add.at(rows, first[few], 1)
+            np.add.at(rows, last[few], -1)
+            batch = batch.take(pa.array(np.flatnonzero(np.cumsum(rows)[:-1] == 0)))
             for g, salt, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, salt) != group:
                     found += compare()
@@ -446,7 +484,9 @@ def classified(docs: DataFrame, row: Column, percent: int, width: int, at_once:
     members = cut(postings.join(sizes, "g"), "members")
     family = _families(members, classes, percent)
     kin = cut(family.join(family.groupBy("family").agg(F.count("*").alias("kin")), "family"), "families")
-    wanted = kin.select("key").join(classes, "key").select("key", "row")
+    wanted = cut(kin.select("key").join(classes, "key").select("key", "row"), "wanted")
+    if wanted.count() <= SENT_ROWS:  # else texts and keys are both shuffled
+        wanted = F.broadcast(wanted)
     sets = cut(own.join(wanted, "row").select("key", "text").mapInArrow(ordered, "key long, shingles binary"), "active_sets")
 
     few = kin.where(F.col("kin") <= at_once).select(F.col("family").alias("g"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), "key", F.col("key").alias("comp"))
