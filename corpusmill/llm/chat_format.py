@@ -13,10 +13,12 @@ import re
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, dealt
+
 _NAMES = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 _ROLES = {v: k for k, v in _NAMES.items()}
 _HEAD = re.compile(r"### ([^:\n]*): ")
@@ -58,6 +60,10 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
 
 
+def unescape(content: str) -> str:
+    return _CONTROL.sub(lambda m: m[1] or m[0], content)
+
+
 def render(role: str | None, text: str) -> tuple[str, int, bool]:
     """A turn's rendering, where its content starts, and whether it is escaped."""
     head = f"### {label(role)}: "
@@ -79,55 +85,65 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     conv = turns.schema[conv_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pos = object(), 0
         for batch in batches:
             rows = []
-            for key, role, text in zip(batch["c"], batch["r"], batch["t"]):
-                key, role = (None if key is None or key != key else key), (role if isinstance(role, str) else None)
+            for key, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 pos = pos + 1 if key == last else 0
                 last = key
                 out, start, escaped = render(role, text)
                 spans = (start, len(out) - len(_END)) if role == "assistant" else (None, None)
-                rows.append((key, pos, out, *spans, escaped))
-            out = pd.DataFrame(rows, columns=["conv_id", "pos", "rendered", "loss_start", "loss_end", "escaped"])
-            yield out.astype({"loss_start": "Int64", "loss_end": "Int64"})
+                rows.append((pos, out, *spans, escaped))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["conv_id", "pos", "rendered", "loss_start", "loss_end", "escaped"])
 
     rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("_turn"), F.col(role_col).cast("string").alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartition("c").sortWithinPartitions("c", "_turn", "r", "t").select("c", "r", "t")
-    return rows.mapInPandas(run, f"conv_id {conv}, pos long, rendered string, loss_start long, loss_end long, escaped boolean")
+    rows = dealt(rows, "c").sortWithinPartitions("c", "_turn", "r", "t").select("c", "r", "t")
+    return rows.mapInArrow(run, f"conv_id {conv}, pos long, rendered string, loss_start long, loss_end long, escaped boolean")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from its formatted text: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_escaped).
+    """Digests of each conversation, from its formatted text: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_escaped).
 
-    Takes the rows of format_turns as they lie, one conversation after another.
+    Turns are parsed from the text; the loss is what the spans cut out of it, unescaped. Rows of
+    format_turns may lie in any order. Memory holds one batch of rows; a conversation's digests are
+    made by one task, as a digest needs its text in order.
     """
     conv = formatted.schema["conv_id"].dataType.simpleString()
+    kinds = ("long", "string", "long", "string", "long", "long")
+    names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_escaped")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+
+        def table(done: list[list]) -> pa.RecordBatch:
+            done = [[x.hexdigest() if hasattr(x, "hexdigest") else x for x in row] for row in done]
+            types = [pa.int64() if kind == "long" else pa.string() for kind in kinds]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], id_type), *(pa.array([r[k + 1] for r in done], kind) for k, kind in enumerate(types))], names=["conv_id", *names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_escaped"]
-        state = None
+        id_type = None
         for batch in batches:
-            done = []
-            for key, pos, out, escaped in zip(batch["conv_id"], batch["pos"], batch["rendered"], batch["escaped"]):
+            done, id_type = [], batch.schema.field(0).type
+            for key, pos, out, start, end, escaped in zip(*(c.to_pylist() for c in batch.columns)):
                 if pos == 0:
-                    if state:
-                        done.append(state)
-                    state = [None if key != key else key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    done += [state] if state else []
+                    state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 for role, text in parse(out):
                     state[1] += 1
                     state[2].update(f"{role or ''}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[3] += len(text)
-                        state[4].update(text.encode())
+                if start is not None:
+                    learnt = unescape(out[start:end])
+                    state[3] += len(learnt)
+                    state[4].update(learnt.encode())
                 state[5] += len(out)
-                state[6] += bool(escaped)
-            yield pd.DataFrame([(*x[:2], x[2].hexdigest(), x[3], x[4].hexdigest(), *x[5:]) for x in done], columns=names)
+                state[6] += escaped
+            yield table(done)
         if state:
-            yield pd.DataFrame([(*state[:2], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:])], columns=names)
+            yield table([state])
 
-    return formatted.select("conv_id", "pos", "rendered", "escaped").mapInPandas(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_escaped long")
+    rows = dealt(formatted, "conv_id").sortWithinPartitions("conv_id", "pos").select("conv_id", "pos", "rendered", "loss_start", "loss_end", "escaped")
+    return rows.mapInArrow(run, f"conv_id {conv}, {', '.join(f'{n} {k}' for n, k in zip(names, kinds))}")
 
 
 #: The conversation whose texts hold the template's own strings.
@@ -137,7 +153,7 @@ CONFLICT = r"\### Assistant: </turn> ok"
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"))
-    return read_back(format_turns(turns.unionByName(planted)))
+    return read_back(cut(format_turns(turns.unionByName(planted)), "formatted"))
 
 
 SQL = r"""

@@ -46,7 +46,9 @@ def learn(docs: DataFrame, per_lang: int = 2000, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     sizes = known.groupBy("lang").count().select("lang", (F.lit(float(per_lang)) / F.col("count") * (1 << 30)).cast("long").alias("share"))
-    sample = known.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("lang", "text")  # a row for each language
+    if sizes.count() <= 10_000:  # labels are free text: a row for each
+        sizes = F.broadcast(sizes)
+    sample = known.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,38 +63,68 @@ def learn(docs: DataFrame, per_lang: int = 2000, id_col: str = "doc_id", text_co
     return sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Level:
+    """Contexts of one depth and what followed them: code lengths of the pairs that some language has seen, and what the step to the shorter context costs each language."""
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, kinds: int, contexts: int, langs: int):
+        seen = np.unique(context)
+        self.row = np.full(contexts, len(seen), np.int32)  # the last row is every context never seen
+        self.row[seen] = np.arange(len(seen), dtype=np.int32)
+        self.kinds = kinds
+        self.pairs = np.unique(self.row[context].astype(np.int64) * kinds + symbol)
+        self.place = np.full((len(seen) + 1) * kinds, -1, np.int32)
+        self.place[self.pairs] = np.arange(len(self.pairs), dtype=np.int32)
+        self.bits, self.step = np.zeros((len(self.pairs), langs), np.float32), np.zeros((len(seen) + 1, langs), np.float32)
+
+    def fill(self, lang: int, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, shorter: np.ndarray, shorter_of_pairs: np.ndarray) -> None:
+        """Take in a language's counts; ``shorter``: its probabilities of these symbols, and of all pairs' symbols, one context shorter."""
+        row = self.row[context]
+        size = len(self.step)
+        total, distinct = np.bincount(row, n, size), np.bincount(row, minlength=size)
+        left = np.maximum(1 - np.bincount(row, shorter, size), 1e-12)
+        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1) / left, 1.0)
+        p = shorter_of_pairs * escape[self.pairs // self.kinds]
+        p[self.place[row.astype(np.int64) * self.kinds + symbol]] = n / (total + distinct)[row]
+        self.bits[:, lang], self.step[:, lang] = -np.log2(np.maximum(p, 2.0**-60)), -np.log2(escape)
+
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of contexts, and places of pairs (-1: never seen)."""
+        row = self.row[context]
+        return row, self.place[row.astype(np.int64) * self.kinds + symbol]
+
+
 class Trees:
-    """Context trees of all languages as tables of code lengths."""
+    """Context trees of all languages. Nothing that was counted is left out; memory grows with the distinct windows of the sample, 4 bytes each and language, and a table of all context numbers (4 bytes each, 70 MB if all 256 bytes occur)."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, most_contexts: int = 1 << 14):
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
         seen = np.unique(np.concatenate([(gram >> (8 * k)) & 255 for k in range(4)] + [np.array([_PAD])]))
         self.size = a = len(seen) + 1  # the last class is every byte never seen
         self.kind = np.full(256, a - 1, np.int64)
         self.kind[seen] = np.arange(a - 1)
-        self.others = max(1, 256 - (a - 1))
-        sym = [self.kind[(gram >> (8 * k)) & 255] for k in range(4)]  # itself, then 1, 2 and 3 back
-        context = (sym[3] * a + sym[2]) * a + sym[1]
-        total = np.bincount(context, weights=n, minlength=a**3)
-        deep = np.argsort(-total, kind="stable")[:most_contexts]
-        deep = np.sort(deep[total[deep] > 1])
-        self.row = np.tile(np.arange(a * a, dtype=np.int32), a)
-        self.row[deep] = a * a + np.arange(len(deep), dtype=np.int32)
-        self.bits = np.zeros((a * a + len(deep), a, len(langs)), np.float32)
         uniform = np.full(a, 1 / 256)
-        uniform[-1] = (256 - (a - 1)) / 256
+        uniform[-1] = others = (256 - (a - 1)) / 256
+        sym = [self.kind[(gram >> (8 * k)) & 255] for k in range(4)]  # itself, then 1, 2 and 3 back
+        two, three = sym[2] * a + sym[1], (sym[3] * a + sym[2]) * a + sym[1]
+        self.one = np.zeros((a * a, len(langs)), np.float32)
+        self.levels = [_Level(two, sym[0], a, a**2, len(langs)), _Level(three, sym[0], a, a**3, len(langs))]
+        pairs = []  # contexts and symbols of each level's pairs
+        for level in self.levels:
+            context = np.flatnonzero(level.row < len(level.step) - 1)[level.pairs // a]
+            pairs.append((context, level.pairs % a))
         for k in range(len(langs)):
             own = lang == k
-            s0, s1, s2, c3, w = sym[0][own], sym[1][own], sym[2][own], context[own], n[own].astype(float)
+            s0, s1, c2, c3, w = sym[0][own], sym[1][own], two[own], three[own], n[own].astype(float)
             p0 = self._blend(np.bincount(s0, w, a)[None], uniform[None])
             p1 = self._blend(np.bincount(s1 * a + s0, w, a * a).reshape(a, a), p0)
-            p2 = self._blend(np.bincount((s2 * a + s1) * a + s0, w, a**3).reshape(a * a, a), np.tile(p1, (a, 1)))
-            at = np.searchsorted(deep, c3)
-            ok = (at < len(deep)) & (deep[np.minimum(at, max(0, len(deep) - 1))] == c3) if len(deep) else np.zeros(len(c3), bool)
-            p3 = self._blend(np.bincount(at[ok] * a + s0[ok], w[ok], len(deep) * a).reshape(-1, a), p2[deep % (a * a)])
-            p = np.concatenate([p2, p3])
-            p[:, -1] /= self.others
-            self.bits[:, :, k] = -np.log2(np.maximum(p, 2.0**-60))
+            each, where = np.unique(c2 * a + s0, return_inverse=True)  # two-byte contexts and what followed
+            n2, c2, s2 = np.bincount(where, w), each // a, each % a
+            context, symbol = pairs[0]
+            self.levels[0].fill(k, c2, s2, n2, p1[c2 % a, s2], p1[context % a, symbol])
+            self.one[:, k] = -np.log2(np.maximum(np.where(np.arange(a) == a - 1, p1 / max(256 * others, 1), p1), 2.0**-60)).ravel()
+            two_p = lambda c, s: np.exp2(-self._two(c, s)[:, k].astype(float))  # noqa: B023, E731
+            context, symbol = pairs[1]
+            self.levels[1].fill(k, c3, s0, w, two_p(c3 % (a * a), s0), two_p(context % (a * a), symbol))
 
     @staticmethod
     def _blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -104,13 +136,23 @@ class Trees:
         kept = counts / np.maximum(n + kinds, 1)
         return np.where(left > 0, kept + escape * rest / np.where(left > 0, left, 1), counts / np.maximum(n, 1))
 
+    def _two(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of symbols after two-byte contexts, by language."""
+        row, place = self.levels[0].find(context, symbol)
+        out = self.levels[0].bits[place] if len(self.levels[0].bits) else np.zeros((len(row), len(self.langs)), np.float32)
+        miss = np.flatnonzero(place < 0)
+        out[miss] = self.levels[0].step[row[miss]] + self.one[context[miss] % self.size * self.size + symbol[miss]]
+        return out
+
     def code_lengths(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits that each language needs for each text."""
         w = windows(buf, at)
         a = self.size
-        kind = self.kind.astype(np.int32)
-        row = self.row[(kind[w >> 24] * a + kind[(w >> 16) & 255]) * a + kind[(w >> 8) & 255]]
-        bits = self.bits[row, kind[w & 255]]
+        s0, s1, s2, s3 = (self.kind[(w >> np.uint32(8 * k)) & np.uint32(255)] for k in range(4))
+        row, place = self.levels[1].find((s3 * a + s2) * a + s1, s0)
+        bits = self.levels[1].bits[place] if len(self.levels[1].bits) else np.zeros((len(row), len(self.langs)), np.float32)
+        miss = np.flatnonzero(place < 0)
+        bits[miss] = self.levels[1].step[row[miss]] + self._two(s2[miss] * a + s1[miss], s0[miss])
         out = np.zeros((len(at) - 1, len(self.langs)))
         filled = np.flatnonzero(np.diff(at) > 0)
         if len(filled):

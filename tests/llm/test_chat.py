@@ -29,3 +29,13 @@ def test_digests(spark):
     spans = [r for r in C.format_turns(frame).collect() if r.loss_start is not None and not r.escaped]
     assert {r.rendered[r.loss_start : r.loss_end] for r in spans} == {"b", "x"}
     assert C.read_back(C.format_turns(frame.where("false"))).count() == 0
+
+
+def test_loss_is_what_the_mask_covers(spark):
+    rows = [(2**60 + 1, 0, "user", "hello"), (2**60 + 1, 1, "assistant", "an \\### answer</turn>"), (None, 0, "assistant", "x" * 300_000)]
+    formatted = C.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    good = {r.conv_id: r for r in C.read_back(formatted.repartition(3)).collect()}
+    assert good[2**60 + 1].loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest() and good[None].loss_chars == 300_000
+    for name, by in (("loss_start", 1), ("loss_end", -1), ("loss_end", 1)):
+        moved = {r.conv_id: r for r in C.read_back(formatted.withColumn(name, formatted[name] + by)).collect()}
+        assert all(moved[k].loss_sha256 != good[k].loss_sha256 and moved[k].turns_sha256 == good[k].turns_sha256 for k in good)

@@ -1,5 +1,7 @@
 """Sharding and mixing."""
 
+import random
+import zlib
 from collections import Counter, defaultdict
 
 from corpusmill.llm import mixing, sharding
@@ -19,6 +21,21 @@ def test_shards_are_balanced_contiguous_and_gapless(spark):
         assert abs(sum(r.size for r in rs) - total / 7) <= largest
 
 
+def test_shards_equal_one_pass_in_python(spark):
+    """A row goes to the shard in which its first byte lies when all rows stand in order of id."""
+    rng = random.Random(4)
+    rows = [(i * 3 % 1009, rng.choice(["", "é" * rng.randint(0, 40), "x" * rng.randint(0, 2000), None])) for i in range(1, 900)]
+    got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24).collect()}
+    sizes = {i: len((t or "").encode()) + 8 for i, t in rows}
+    total, at, want, slots = sum(sizes.values()), 0, {}, Counter()
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        shard = at * 24 // total
+        want[i] = (sizes[i], zlib.crc32((t or "").encode()), shard, slots[shard])
+        slots[shard] += 1
+        at += sizes[i]
+    assert got == want
+
+
 def test_shards_edge_cases(docs, no_docs):
     got = sharding.balanced_shards(docs, 3).collect()
     assert len(got) == docs.count()
@@ -50,3 +67,12 @@ def test_mix_edge_cases(docs, no_docs):
     assert mixing.systematic_mix(no_docs).count() == 0
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_rows_keep_what_they_differ_in(spark):
+    rows = [(1, "a b c", "s", "p", 1), (1, "a b c", "s", "q", 2), (2, "d e f", "s", "p", 1), (2, "d e f", "s", "p", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key string, copies int")
+    got = Counter(map(tuple, mixing.mixed_documents(frame).collect()))
+    copies = sum(r.copies for r in mixing.systematic_mix(frame).collect())
+    assert sum(got.values()) == copies and set(got) == set(rows)
