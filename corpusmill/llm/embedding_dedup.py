@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, dealt, drop
 
 #: Links of a vertex on upper levels and on the ground, and the beam while building.
 LINKS, GROUND, BUILD_BEAM = 12, 24, 48
 #: Further places on the ground for links to vertices that no path reached.
 SPARE = 4
+#: Vectors that a task asks one graph about, in shards; and how many it asks about at once.
+QUERIES, ASKED = 8, 1024
 #: Vertices of at most so many links are audited apart.
 FEW = 8
 
@@ -193,6 +195,25 @@ class Graph:
         return np.concatenate([f[0] for f in found] or [np.zeros(0, int)]), np.concatenate([f[1] for f in found] or [np.zeros(0, int)])
 
 
+def joined(i: np.ndarray, j: np.ndarray, names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect queries names[i] and vertices ids[j] as the pairs (i, j) do: each end that occurs, and the first vertex of its component."""
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    label, of_query = np.arange(len(ids)), np.zeros(len(names), np.int64)
+    while True:
+        before = label[j]
+        of_query[:] = len(ids)
+        np.minimum.at(of_query, i, before)
+        np.minimum.at(label, j, of_query[i])
+        np.minimum.at(label, before, of_query[i])
+        label = label[label]
+        if (label[j] == before).all():
+            break
+    q, v = np.unique(i), np.unique(j)
+    a, b = np.concatenate([names[q], ids[v]]), ids[np.concatenate([label[of_query[q]], label[v]])]
+    return a[a != b], b[a != b]
+
+
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): the directions, in double precision, of vectors that aren't null or zero and hold finite numbers alone."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -236,7 +257,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     apart, and over queries planted at about the similarity ``least`` from audited vertices, so that
     large groups hide nothing and tables with rare links are audited too; a beam as wide as a
     graph compares with all its vertices. Beams that fill up with links widen on their own. Found
-    pairs are verified in double precision and joined to components.
+    pairs are verified in double precision. A vertex counts what its own queries find; of the pairs
+    themselves a task gives only so many that components are the same, so large groups cost no
+    more than their vectors. A graph is sent to one task for each ``QUERIES`` * ``shard_rows`` vectors that ask it.
 
     Vectors that are null or zero or hold null or non-finite components link with nothing; vectors
     of another length than the one in question link with each other alone. Rows with a null
@@ -247,38 +270,60 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
     classes = cut(units.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "directions")
     n = classes.count()
     shards = max(8, -(-n // shard_rows))
-    parts = max(1, -(-n // max(8192, n // shards)))
+    parts = max(1, -(-n // (QUERIES * shard_rows)))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy(), kind="stable")
         x = _matrix(table["v"])[order]
         g = Graph.build(x)
-        return pa.table({"shard": table["shard"][:1], "dim": table["dim"][:1], "ids": pa.array([table["id"].to_numpy()[order].tolist()], pa.list_(pa.int64())), "x": pa.array([x.tobytes()], pa.binary()), "links": pa.array([[a.tobytes() for a in g.links]], pa.list_(pa.binary())), "entry": pa.array([g.entry], pa.int32())})
+        return pa.table({"shard": table["shard"][:1], "dim": table["dim"][:1], "copies": pa.array([table["copies"].to_numpy()[order].tolist()], pa.list_(pa.int64())), "ids": pa.array([table["id"].to_numpy()[order].tolist()], pa.list_(pa.int64())), "x": pa.array([x.tobytes()], pa.binary()), "links": pa.array([[a.tobytes() for a in g.links]], pa.list_(pa.binary())), "entry": pa.array([g.entry], pa.int32())})
 
-    kind = "shard int, dim int, ids array<long>, x binary, links array<binary>, entry int"
-    graphs = cut(classes.select(shard.alias("shard"), "dim", "id", "v").groupBy("shard", "dim").applyInArrow(build, kind), "graphs")
+    kind = "shard int, dim int, copies array<long>, ids array<long>, x binary, links array<binary>, entry int"
+    graphs = cut(classes.select(shard.alias("shard"), "dim", "id", "copies", "v").groupBy("shard", "dim").applyInArrow(build, kind), "graphs")
 
     def search(queries: DataFrame, beam: int, parts: int) -> DataFrame:
-        """Pairs (a, b) with a < b that the queries find."""
-        asked = queries.select("dim", F.col("id").alias("q"), "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        each = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            a = b = np.zeros(0, np.int64)
-            if left.num_rows and right.num_rows:
-                ids = left["ids"][0].values.to_numpy()
-                x = np.frombuffer(left["x"][0].as_py()).reshape(len(ids), -1)
-                g = Graph(x, [np.frombuffer(r, np.int32).reshape(len(ids), -1) for r in left["links"][0].as_py()], left["entry"][0].as_py())
-                names, q = right["q"].to_numpy(), _matrix(right["v"])
-                own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-                i, j = g.within(q, least - 1e-5, beam, np.where(ids[own] == names, own, -1))
-                ok = (names[i] != ids[j]) & (np.einsum("td,td->t", q[i], x[j]) >= least)
-                a, b = np.minimum(names[i], ids[j])[ok], np.maximum(names[i], ids[j])[ok]
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        keys = ["shard", "dim", "part"]
-        return each.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
+        """Rows (id, other, found, weight): how many vertices a query found in a shard, and with their copies; or, with other, that both are in one component."""
+        asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("id").alias("q"), "v")
+        each = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
+        rows = dealt(each.unionByName(asked, allowMissingColumns=True), "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "kind", "q")
+        rows = rows.select("shard", "dim", "part", "kind", "q", "v", "ids", "x", "links", "entry", "copies")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g, key, ids, x, copies = None, None, None, None, None
+            for batch in batches:
+                keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+                kinds = batch.column(3).to_numpy()
+                bounds = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1] or kinds[k] != kinds[k - 1]), len(keys)]
+                for start, end in zip(bounds, bounds[1:]):
+                    part = batch.slice(start, end - start)
+                    if kinds[start] == 0:
+                        of = {c: part.column(part.schema.get_field_index(c))[0] for c in ("ids", "x", "links", "entry", "copies")}
+                        key, ids, copies = keys[start], of["ids"].values.to_numpy(), of["copies"].values.to_numpy()
+                        x = np.frombuffer(of["x"].as_py()).reshape(len(ids), -1)
+                        g = Graph(x, [np.frombuffer(r, np.int32).reshape(len(ids), -1) for r in of["links"].as_py()], of["entry"].as_py())
+                        continue
+                    if keys[start] != key:  # no vertex of this length is in the shard
+                        continue
+                    for a in range(0, part.num_rows, ASKED):
+                        some = part.slice(a, ASKED)
+                        names, q = some.column(some.schema.get_field_index("q")).to_numpy(), _matrix(some.column(some.schema.get_field_index("v")))
+                        own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+                        i, j = g.within(q, least - 1e-5, beam, np.where(ids[own] == names, own, -1))
+                        ok = np.zeros(len(i), bool)
+                        for at in range(0, len(i), 1 << 17):
+                            s = slice(at, at + (1 << 17))
+                            ok[s] = (names[i[s]] != ids[j[s]]) & (np.einsum("td,td->t", q[i[s]], x[j[s]]) >= least)
+                        i, j = i[ok], j[ok]
+                        found, weight = np.bincount(i, minlength=len(names)), np.bincount(i, copies[j], len(names)).astype(np.int64)
+                        hit = np.flatnonzero(found)
+                        left, right = joined(i, j, names, ids)
+                        none, zero = np.zeros(len(hit), np.int64), np.zeros(len(left), np.int64)
+                        columns = [np.concatenate([names[hit], left]), np.concatenate([none, right]), np.concatenate([found[hit], zero]), np.concatenate([weight[hit], zero])]
+                        arrays = [pa.array(c.astype(np.int64), mask=np.arange(len(c)) < len(hit) if k == 1 else None) for k, c in enumerate(columns)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["id", "other", "found", "weight"])
+
+        return rows.mapInArrow(run, "id long, other long, found long, weight long")
 
     share = min(1.0, 2048 / max(n, 1))
     audit = cut(classes.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))), "audit")
@@ -297,27 +342,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard_rows: int = 200_
                 names, x = own.column(0).to_numpy(), _matrix(own.column(1))
                 ids, q = sample.value.get(int(d), (np.zeros(0, np.int64), np.zeros((0, d))))
                 i, j = np.nonzero(q @ x.T >= least) if len(ids) else (np.zeros(0, int), np.zeros(0, int))
-                ok = ids[i] != names[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], names[j])[ok]), pa.array(np.maximum(ids[i], names[j])[ok])], names=["a", "b"])
+                links = np.bincount(i[ids[i] != names[j]], minlength=len(ids))
+                hit = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit].astype(np.int64)), pa.array(links[hit])], names=["id", "links"])
 
-    truth = cut(classes.select("id", "v").mapInArrow(brute, "a long, b long").distinct(), "audit_links")
+    truth = cut(classes.select("id", "v").mapInArrow(brute, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")), "audit_links")
     ids = spark.createDataFrame([(i, False) for i in named] + [(i, True) for i, _ in planted], "id long, planted boolean")
-    by_vertex = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b").join(F.broadcast(ids), "id")
     beam = first_beam
     while beam < n:
-        hits = by_vertex(truth.join(search(audit, beam, 1), ["a", "b"])).groupBy("id").agg(F.count("*").alias("hits"))
-        shares = by_vertex(truth).groupBy("id", "planted").agg(F.count("*").alias("links")).join(hits, "id", "left")
+        hits = search(audit, beam, 1).where("other IS NULL").groupBy("id").agg(F.sum("found").alias("hits"))
+        shares = truth.join(F.broadcast(ids), "id").join(hits, "id", "left")
         shares = shares.groupBy("planted", (F.col("links") <= FEW).alias("few")).agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("links")).alias("found"))
         if all(r.found >= recall for r in shares.collect()):  # four at most
             break
         beam *= 2
-    links = cut(search(classes, beam, parts), "links")
-
-    copies = classes.select("id", "copies")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(copies.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    found = cut(search(classes, beam, parts), "found")
+    others = found.where("other IS NULL").groupBy(F.col("id").alias("a")).agg(F.sum("weight").alias("others"))
+    links = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
     comps = components(links)
     named = classes.join(others, classes["id"] == others["a"], "left").join(comps.withColumnRenamed("id", "c"), classes["id"] == F.col("c"), "left")
+    drop(graphs, audit, truth)
     named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", classes["id"]).alias("component_id"))
     linked = units.join(named, "v").select("id", "n_links", "component_id")
     good = linked.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

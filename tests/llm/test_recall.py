@@ -16,6 +16,29 @@ def test_nothing_is_lost():
     assert len(seen) == 6000
 
 
+def test_joined_pairs_keep_components():
+    rng = np.random.default_rng(2)
+    names, ids = np.arange(1000, 1060), np.arange(0, 400, 2)
+    i, j = rng.integers(0, 60, 90), rng.integers(0, 200, 90)
+    a, b = E.joined(i, j, names, ids)
+
+    def classes(pairs):
+        to = {}
+
+        def find(v):
+            while to.setdefault(v, v) != v:
+                v = to[v]
+            return v
+
+        for x, y in pairs:
+            to[max(find(x), find(y))] = min(find(x), find(y))
+        return {v: find(v) for v in to}
+
+    want = classes(zip(names[i].tolist(), ids[j].tolist()))
+    got = classes(zip(a.tolist(), b.tolist()))
+    assert got == want and len(a) <= 60 + 200
+
+
 def test_pairs_beside_a_large_group(spark):
     rng = np.random.default_rng(7)
     d = 32
