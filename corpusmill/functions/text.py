@@ -19,6 +19,7 @@ BOILERPLATE_HEADINGS = (
     "原文概览 / source overview", "核心观点 / key points", "知识声明 / claims", "证据切块 / chunks", "后续建议 / next steps", "概念摘要 / concept summary", "核心陈述 / canonical claim", "支撑声明 / supporting claims",
     "来源页面 / source pages", "来源证据 / source evidence", "审核提示 / review notes", "工作区综述 / workspace overview", "稳定概念 / stable concepts", "来源覆盖 / source coverage", "维护状态 / maintenance",
 )
+QUESTION_HEADINGS = (r"(?U)^(.{1,32}?)\s*[是指]?什么\s+(.+)$", r"(?U)^什么是\s+(.{1,32}?)\s+(.+)$")
 NO_SECTION = "未命名章节"
 PREAMBLE = "文档开始"
 
@@ -93,12 +94,13 @@ def normal_claim(x: Text) -> Column:
 
 
 def heading_body(x: Column) -> Column:
-    """``X 是什么 X…`` and ``什么是 X X…`` become their bodies."""
-    first = F.regexp_extract(x, r"(?Us)^(.{1,40}?)\s*是什么[？?]?\s+(.+)$", 1)
-    first_body = strip(F.regexp_extract(x, r"(?Us)^(.{1,40}?)\s*是什么[？?]?\s+(.+)$", 2))
-    second = F.regexp_extract(x, r"(?Us)^什么是\s*(\S{1,40})\s+(.+)$", 1)
-    second_body = strip(F.regexp_extract(x, r"(?Us)^什么是\s*(\S{1,40})\s+(.+)$", 2))
-    return F.when((first != "") & F.startswith(first_body, strip(first)), first_body).when((second != "") & F.startswith(second_body, strip(second)), second_body).otherwise(x)
+    """A question heading that a body repeats, as ``X 是什么 X…`` and ``什么是 X X…``, goes; both parts are compared as titles."""
+
+    def body(title: Column, pattern: str) -> Column:
+        parts = F.struct(concept_title(F.regexp_extract(title, pattern, 1)).alias("label"), concept_title(F.regexp_extract(title, pattern, 2)).alias("rest"))
+        return let(parts, lambda p: F.when((p["label"] != "") & F.startswith(p["rest"], p["label"]), p["rest"]))
+
+    return let(concept_title(x), lambda title: F.coalesce(*(body(title, pattern) for pattern in QUESTION_HEADINGS), x))
 
 
 def clean_claim(x: Text) -> Column:

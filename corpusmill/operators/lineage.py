@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+
 STEP = "step_id string, parent_id string, run_id string, name string, kind string, started double, ended double, status string"
 # Words that mark a key as secret.
 SECRET_KEYS = ("api_key", "apikey", "authorization", "password", "secret", "token")
@@ -51,14 +53,15 @@ def summary(lineage: DataFrame) -> DataFrame:
     return lineage.groupBy("operation").agg(F.count("*").alias("events"), F.sum(F.size("inputs")).alias("inputs"), F.sum(F.size("outputs")).alias("outputs"))
 
 
-def descendants(steps: DataFrame, root: str, most: int = 64) -> DataFrame:
-    """(step_id, depth) of a step and all below it, level by level."""
-    found = steps.where(F.col("step_id") == root).select("step_id", F.lit(0).alias("depth"))
-    front = found
-    for depth in range(1, most):
-        front = steps.join(front.select(F.col("step_id").alias("parent_id")), "parent_id").select("step_id", F.lit(depth).alias("depth"))
-        if front.isEmpty():
-            break
+def descendants(steps: DataFrame, root: str) -> DataFrame:
+    """(step_id, depth) of a step and all below it, level by level, as deep as they go; a step that is met again counts once."""
+    steps = steps.select("step_id", "parent_id")
+    front = found = staged(steps.where(F.col("step_id") == root).select("step_id", F.lit(0).alias("depth")).distinct(), "steps")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        below = steps.join(front.select(F.col("step_id").alias("parent_id")), "parent_id").select("step_id").distinct()
+        front = staged(below.join(found, "step_id", "left_anti").select("step_id", F.lit(depth).alias("depth")), "steps")
         found = found.unionByName(front)
     return found
 

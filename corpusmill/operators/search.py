@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..sources.stages import staged
 
 # Weights, boosts and markers of the ranking.
 FIELD_WEIGHTS = {"title": 5.0, "aliases": 4.0, "hierarchy": 3.5, "summary": 3.0, "headings": 2.5, "claim_text": 2.0, "body": 1.0, "source_refs": 0.5}
@@ -33,9 +34,24 @@ INTENT_TYPES = {
     "evidence": {"source-summary": 2.6, "topic": 0.55, "guide": 0.50, "duty": 0.70, "example": 0.50, "concept": 0.40},
 }
 DEPTHS = {"standard": (3, 2), "deep": (6, 5)}
+#: Tokens of all queries together that are looked up in each text's tokens.
+MOST_ASKED = 4096
+# Fixed values of answers: what to read first by intent or page type, in what order, and what a status warns of.
+FOCUS = {"overview": "workspace_overview", "compare": "compare_claims", "timeline": "timeline_evidence", "how_to": "procedural_chunks", "evidence": "source_evidence"}
+TYPE_FOCUS = {"example": "worked_examples", "topic": "topic_orientation"}
+STATUS_RISKS = {"needs_review": "page_needs_review", "disputed": "page_disputed", "outdated": "page_outdated", "draft": "page_draft"}
+CITES = {"timeline": "strong", "evidence": "strong", "compare": "light", "how_to": "light"}
+SUMMARY_INTENTS = ("lookup", "definition", "overview")
+_FOCUS, _CLAIMS, _CHUNKS, _SUMMARY = "retrieval_context.focus", "evidence_context.matched_claims", "evidence_context.matched_chunks", "page_context.summary"
+_TIMELINE, _TRAIL = "evidence_context.timeline_sources", "evidence_context.source_trail"
+READ_ORDERS = {
+    "timeline": ("sources_first", (_FOCUS, _CLAIMS, _CHUNKS, _TIMELINE, _SUMMARY)), "evidence": ("sources_first", (_FOCUS, _CLAIMS, _CHUNKS, _TRAIL, _SUMMARY)), "guide": ("chunks_first", (_FOCUS, _SUMMARY, _CHUNKS, _CLAIMS)),
+    "example": ("claims_first", (_FOCUS, _SUMMARY, _CLAIMS, _CHUNKS)), "topic": ("summary_first", (_FOCUS, _SUMMARY, _CLAIMS, _CHUNKS)), "how_to": ("chunks_first", (_FOCUS, _CHUNKS, _CLAIMS, _SUMMARY)),
+    "compare": ("claims_first", (_FOCUS, _CLAIMS, _CHUNKS, _SUMMARY)), "other": ("summary_first", (_SUMMARY, _CLAIMS, _FOCUS)),
+}
 
 
-def lookup(values: dict, key: Column, default: float) -> Column:
+def lookup(values: dict, key: Column, default: float | str | None) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key], F.lit(default))
 
 
@@ -85,15 +101,30 @@ def bm25(tf: Column, df: Column, pages: Column, length: Column, average: Column)
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (length / F.greatest(average, F.lit(1e-9)))))
 
 
-def field_scores(queries: DataFrame, posted: DataFrame, statistics: DataFrame) -> DataFrame:
+def field_hits(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """(page_id, field, length, hits): each field's number of tokens, and those of them that are asked for, repeats too.
+
+    The one reading of the texts: what follows reads this narrow table. Queries that ask for more
+    than MOST_ASKED tokens keep all tokens, and meet them by a join alone.
+    """
+    asked = [r.token for r in queries.select(F.explode("tokens").alias("token")).distinct().limit(MOST_ASKED + 1).collect()]
+    hits = F.col("tokens") if len(asked) > MOST_ASKED else F.filter("tokens", lambda t: t.isin(asked))
+    return staged(fields.select("page_id", "field", F.size("tokens").alias("length"), hits.alias("hits")), "hits")
+
+
+def field_scores(queries: DataFrame, fields: DataFrame) -> DataFrame:
     """(query_id, page_id, field, score): BM25 per field; a token that a query repeats counts each time.
 
-    Queries meet postings by token, so only postings of asked tokens are shuffled further.
+    Term frequencies are counted within a field's own row, so only asked tokens are ever shuffled.
     """
+    hits = field_hits(queries, fields)
+    statistics = hits.groupBy("field").agg(F.count("*").alias("pages"), F.avg("length").alias("average"))
+    counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("token"), F.size(F.filter("hits", lambda h: h == t)).alias("tf")))
+    posted = hits.where(F.size("hits") > 0).select("page_id", "field", "length", F.explode(counted).alias("x")).select("page_id", "field", "length", "x.token", "x.tf")
     asked = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    hits = posted.join(asked.select("token").distinct(), "token", "left_semi")
-    hits = hits.join(document_frequency(hits), ["field", "token"]).join(F.broadcast(statistics), "field")  # eight rows
-    rows = hits.join(asked, "token")
+    posted = posted.join(asked.select("token").distinct(), "token", "left_semi")
+    found = posted.join(document_frequency(posted), ["field", "token"]).join(F.broadcast(statistics), "field")  # eight rows
+    rows = found.join(asked, "token")
     each = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("pages"), F.col("length"), F.col("average"))
     return rows.groupBy("query_id", "page_id", "field").agg(F.sum(each).alias("score"), F.sort_array(F.collect_set("token")).alias("matched"))
 
@@ -106,7 +137,7 @@ def scored_pages(queries: DataFrame, pages: DataFrame, fields: DataFrame | None
     (query_id, page_id) of pages whose aliases the query names.
     """
     fields = fields if fields is not None else page_fields(pages)
-    scores = field_scores(queries, postings(fields), field_statistics(fields))
+    scores = field_scores(queries, fields)
     by_intent = {f"{i}/{f}": w for i, fs in INTENT_FIELDS.items() for f, w in fs.items()}
     scores = scores.join(queries.select("query_id", "intent", "normal"), "query_id")
     factor = lookup(FIELD_WEIGHTS, F.col("field"), 0.0) * lookup(by_intent, F.concat_ws("/", "intent", "field"), 1.0)
@@ -144,8 +175,8 @@ def reading_pack(top: DataFrame, queries: DataFrame, page_claims: DataFrame, pag
 
     ``page_claims``: (page_id, claim_id, text, source_ids); ``page_chunks``: (page_id, chunk_id,
     source_id, text, section_path, start_line). Claims score by matched tokens, chunks by matched
-    tokens of text plus .45 of section's, .2 for any match and .25 for short texts. It runs on the
-    results alone, after the ranking.
+    tokens of text plus .45 of section's, .2 for any of these and .25 for texts of up to 600
+    characters. It runs on the results alone, after the ranking.
     """
     n_claims, n_chunks = DEPTHS[depth]
     base = top.join(queries.select("query_id", "tokens"), "query_id").select("query_id", "page_id", "rank", F.col("tokens").alias("asked"))
@@ -157,7 +188,7 @@ def reading_pack(top: DataFrame, queries: DataFrame, page_claims: DataFrame, pag
     hit = F.size(matched_tokens(F.col("asked"), T.tokens(T.normal_claim("text"))))
     section = F.size(matched_tokens(F.col("asked"), T.tokens(T.normal_claim("section_path"))))
     some = (hit + section) > 0
-    k = best(k, F.when(some, hit + 0.45 * section + 0.2 + F.when(F.length("text") <= 800, 0.25).otherwise(0.0)).otherwise(0.0), "chunk_id", n_chunks)
+    k = best(k, F.when(some, hit + 0.45 * section + F.when(section > 0, 0.2).otherwise(0.0) + F.when(F.length("text") <= 600, 0.25).otherwise(0.0)).otherwise(0.0), "chunk_id", n_chunks)
     chunks = k.groupBy("query_id", "page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     trail = c.select("query_id", "page_id", F.explode("source_ids").alias("source_id")).unionByName(k.select("query_id", "page_id", "source_id")).groupBy("query_id", "page_id").agg(F.sort_array(F.collect_set("source_id")).alias("source_trail"))
     out = top
@@ -168,16 +199,43 @@ def reading_pack(top: DataFrame, queries: DataFrame, page_claims: DataFrame, pag
 
 
 def guardrails(results: DataFrame) -> DataFrame:
-    """What an answer must mind: risk flags, what to read first, how far to cite, and the handoff's mode."""
-    no_claims, no_chunks = F.size("claim_ids") == 0, F.size("chunk_ids") == 0
+    """What an answer must mind, and how it is handed over: risk flags, what must be read, in what order, how strongly to cite.
+
+    ``review_ids`` of results are the open reviews of their pages; without the column there are none.
+    A page's source trail is its sources in time where the intent is timeline.
+    """
+    intent_, kind, status = F.col("intent"), F.col("type"), F.col("status")
+    reviewed = F.size("review_ids") > 0 if "review_ids" in results.columns else F.lit(False)
+    no_claims, no_chunks, no_trail = F.size("claim_ids") == 0, F.size("chunk_ids") == 0, F.size("source_trail") == 0
     risks = F.array_compact(F.array(
-        F.when(F.col("status").isin("draft", "needs_review"), "unstable_page"), F.when(F.col("status") == "disputed", "disputed_page"), F.when(F.col("status") == "outdated", "outdated_page"),
-        F.when(no_claims, "no_matched_claims"), F.when(no_chunks, "no_matched_chunks"), F.when((F.col("intent") == "timeline") & (F.size("source_trail") < 2), "thin_timeline"),
+        F.when(reviewed, "has_open_reviews"), lookup(STATUS_RISKS, status, None), F.when(no_claims, "no_matched_claims"), F.when(intent_.isin("how_to", "timeline", "evidence") & no_chunks, "no_matched_chunks"),
+        F.when((intent_ == "timeline") & no_trail, "no_timeline_sources"), F.when((intent_ == "evidence") & no_trail, "weak_source_trace"),
     ))
-    cite = F.when(~no_chunks, "chunk").when(~no_claims, "claim").otherwise("page")
-    mode = F.when(no_claims & no_chunks, "clarify").when(F.size(risks) > 0, "answer_with_caution").otherwise("answer")
-    focus = F.when(F.col("intent") == "evidence", "sources").when(F.col("intent") == "how_to", "steps").when(F.col("intent") == "timeline", "order").when(F.col("type") == "concept", "definition").otherwise("claims")
-    return results.withColumns({"risk_flags": risks, "cite_level": cite, "answer_mode": mode, "reading_focus": focus, "must_read_chunks": F.col("intent").isin("evidence", "how_to", "timeline")})
+    summary_only = intent_.isin(*SUMMARY_INTENTS) & ~kind.isin("guide", "example") & ~status.isin("needs_review", "disputed", "outdated") & ~reviewed
+    read_claims, read_chunks, read_sources = (intent_.isin(*names) for names in (("compare", "timeline", "evidence"), ("how_to", "timeline", "evidence"), ("timeline", "evidence")))
+    route = (
+        F.when(intent_.isin("timeline", "evidence"), intent_).when(kind.isin("guide", "example"), kind).when((kind == "topic") & intent_.isin(*SUMMARY_INTENTS), "topic")
+        .when(intent_.isin("how_to", "compare"), intent_).otherwise("other")
+    )
+    order = F.create_map(*(x for k, (_, paths) in READ_ORDERS.items() for x in (F.lit(k), F.array(*map(F.lit, paths)))))[route]
+    required = F.array_compact(F.array(F.when(read_claims, _CLAIMS), F.when(read_chunks, _CHUNKS), F.when(intent_ == "timeline", _TIMELINE).when(intent_ == "evidence", _TRAIL)))
+    focus = F.when((intent_ == "how_to") & (kind == "guide"), "guide_steps").otherwise(F.coalesce(lookup(FOCUS, intent_, None), lookup(TYPE_FOCUS, kind, "general_lookup")))
+    cite = lookup(CITES, intent_, "none")
+    fallback = F.when(F.size(risks) > 0, "answer_with_uncertainty").when(summary_only, "answer_from_summary_and_claims").otherwise("read_required_evidence_before_answering")
+    return results.withColumns({
+        "risk_flags": risks, "can_answer_from_summary_only": summary_only, "must_read_claims": read_claims, "must_read_chunks": read_chunks, "must_read_sources": read_sources, "cite_expectation": cite,
+        "answer_mode": lookup({k: mode for k, (mode, _) in READ_ORDERS.items()}, route, None), "read_order": order, "required_evidence": required, "reading_focus": focus,
+        "should_cite_sources": cite != "none", "should_surface_uncertainty": F.size(risks) > 0, "fallback_action": fallback,
+    })
+
+
+def hierarchy_match(asked: Column, path: Column) -> Column:
+    """Struct (leaf_hits, parent_hits, anchor) of asked tokens in a section path: anchored at the leaf, a parent, both, or nowhere."""
+    hits = lambda text: F.size(matched_tokens(asked, T.tokens(T.normal_claim(text))))
+    parts = F.split(path, " > ")
+    leaf, parent = hits(F.element_at(parts, -1)), hits(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), " "))
+    anchor = F.when((leaf > 0) & (parent > 0), "leaf_and_parent").when(leaf > 0, "leaf").when(parent > 0, "parent").otherwise("none")
+    return F.struct(leaf.alias("leaf_hits"), parent.alias("parent_hits"), anchor.alias("anchor"))
 
 
 def answers(packs: DataFrame) -> DataFrame:

@@ -168,8 +168,8 @@ def knowledge_units(evidence: DataFrame) -> DataFrame:
 
 
 def compile_structure(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks, evidence and units; evidence is staged, as everything after it reads it."""
-    blocks = structure_blocks(sources)
+    """Blocks, evidence and units; blocks and evidence are staged, as everything after them reads them."""
+    blocks = staged(structure_blocks(sources), "blocks")
     evidence = staged(evidence_blocks(blocks), "evidence")
     return blocks, evidence, knowledge_units(evidence)
 
@@ -231,7 +231,7 @@ def _groups(blocks: Column) -> Column:
 
 
 def chunks(sources: DataFrame, strategy: str = "heading_first", document_kind: str = "note") -> DataFrame:
-    """Chunks of a source in order, numbered from 0, with their neighbours; ``strategy`` heading_first, paragraph_first or chat_turn."""
+    """Chunks of a source in order, numbered from 0, with their neighbours, staged; ``strategy`` heading_first, paragraph_first or chat_turn."""
     sectioned = sections(sources) if strategy == "heading_first" else paragraph_sections(sources)
     blocks = section_blocks(sectioned).withColumn("chars", F.length("text"))
     lists = blocks.groupBy("source_id", "section").agg(F.first("source_path").alias("source_path"), F.first("ord").alias("ord"), F.first("parts").alias("parts"), F.array_sort(F.collect_list(F.struct("start_line", "end_line", "chars", "text"))).alias("blocks"))
@@ -244,7 +244,8 @@ def chunks(sources: DataFrame, strategy: str = "heading_first", document_kind: s
     rows = rows.withColumn("chunk_id", F.concat_ws("_", F.lit("chk"), "source_id", T.key("section_path"), F.col("start_line").cast("string"), F.substring("hash", 1, 10)))
     order = Window.partitionBy("source_id").orderBy("section", "g")
     h = T.section_hierarchy(F.col("parts"))
-    return rows.select(
+    rows = rows.select(
         "chunk_id", "source_id", "source_path", "ord", "section_path", h["parts"].alias("section_path_parts"), h["title"].alias("section_title"), h["parent"].alias("parent_section_path"), h["level"].alias("heading_level"), (F.row_number().over(order) - 1).alias("chunk_index"),
         "start_line", "end_line", F.length("text").alias("char_count"), T.estimated_tokens("text").alias("token_estimate"), T.summary("text").alias("summary"), "text", F.lag("chunk_id").over(order).alias("previous_chunk"), F.lead("chunk_id").over(order).alias("next_chunk"), "hash", F.lit(strategy).alias("chunk_kind"), F.lit(document_kind).alias("topicworthiness_hint"),
     )
+    return staged(rows, "chunks")

@@ -19,6 +19,7 @@ from ..operators import semantic as M
 from ..operators import similarity as N
 from ..operators import structure as S
 from ..sources import tables as D
+from ..sources.stages import staged
 
 #: What the retrieval queries ask.
 QUESTIONS = ["the and attion", "reference thing ereation", "overview of the stion", "how to thean ouer", "ouon des les la", "timeline of nd onion", "ungen keit der die", "what is ing er"]
@@ -151,7 +152,7 @@ def bm25_body(spark: SparkSession, d: str) -> DataFrame:
     asked = X.queries_frame(spark, QUESTIONS)
     pages = document_pages(spark, d)
     fields = pages.select("page_id", F.lit("body").alias("field"), T.tokens(T.normal_claim("page_text")).alias("tokens"))
-    rows = X.field_scores(asked, X.postings(fields), X.field_statistics(fields)).withColumn("score", F.round("score", 6))
+    rows = X.field_scores(asked, fields).withColumn("score", F.round("score", 6))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))).where("rank <= 10").select("query_id", "rank", "page_id", "score")
 
 
@@ -161,7 +162,7 @@ def reading_packs(spark: SparkSession, d: str) -> DataFrame:
     top = X.top_pages(X.scored_pages(asked, pages))
     claims = pages.select("page_id", F.posexplode("claim_texts").alias("pos", "text"), "source_ids").select("page_id", F.concat_ws("#", "page_id", F.col("pos").cast("string")).alias("claim_id"), "text", "source_ids")
     chunks = pages.select("page_id", F.concat(F.lit("chk_"), "page_id").alias("chunk_id"), F.col("source_ids")[0].alias("source_id"), F.col("page_text").alias("text"), F.array_join("hierarchy", " > ").alias("section_path"))
-    return X.answers(X.reading_pack(top, asked, claims, chunks)).select("query_id", "page_id", "claim_ids", "chunk_ids", "answer_mode", "cite_level", "weak_match", "alternatives")
+    return X.answers(X.reading_pack(top, asked, claims, chunks)).select("query_id", "page_id", "claim_ids", "chunk_ids", "answer_mode", "cite_expectation", "risk_flags", "reading_focus", "required_evidence", "fallback_action", "weak_match", "alternatives")
 
 
 def query_intents(spark: SparkSession, d: str) -> DataFrame:
@@ -199,29 +200,31 @@ def concept_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("group").agg(F.count("*").alias("claims"), F.min("normalized_text").alias("first_text"))
 
 
+def _page_claims(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Sources, blocks, evidence, units, chunks and merged claims of web pages; what several steps read is staged."""
+    sources = staged(D.pages(spark, d), "pages")
+    blocks, evidence, units = S.compile_structure(sources)
+    chunks = S.chunks(sources)
+    return sources, blocks, evidence, units, chunks, staged(C.merge_claims(C.claims(units, chunks)), "claims")
+
+
 def topic_labels(spark: SparkSession, d: str) -> DataFrame:
     """2.7.12: the topic of each group of pages' claims."""
-    _, _, units = S.compile_structure(D.pages(spark, d))
-    rows = C.merge_claims(C.claims(units, S.chunks(D.pages(spark, d))))
-    return K.topic_labels(K.grouped(rows))
+    return K.topic_labels(K.grouped(_page_claims(spark, d)[-1]))
 
 
 def canonical_claims(spark: SparkSession, d: str) -> DataFrame:
     """2.8.1 to 2.8.4, 2.8.6: each group's canonical claim, title and quality."""
-    _, _, units = S.compile_structure(D.pages(spark, d))
-    groups = K.grouped(C.merge_claims(C.claims(units, S.chunks(D.pages(spark, d)))))
+    groups = staged(K.grouped(_page_claims(spark, d)[-1]), "groups")
     ranked = K.ranked_claims(groups, K.topic_labels(groups))
     return K.canonical_claims(ranked).select("group", "claim_id", "text", "alignment", "readability").join(K.title(ranked), "group")
 
 
 def compiled_pages(spark: SparkSession, d: str) -> DataFrame:
     """2.13: source, concept, routed and overview pages compiled from web pages."""
-    sources = D.pages(spark, d)
-    _, _, units = S.compile_structure(sources)
-    chunks = S.chunks(sources)
-    claims = C.merge_claims(C.claims(units, chunks))
-    groups = K.grouped(claims)
-    ranked = K.ranked_claims(groups, K.topic_labels(groups))
+    sources, _, _, _, chunks, claims = _page_claims(spark, d)
+    groups = staged(K.grouped(claims), "groups")
+    ranked = staged(K.ranked_claims(groups, K.topic_labels(groups)), "ranked")
     titles = K.worth_a_page(groups, K.title(ranked))
     made = P.concept_pages(ranked, titles, K.routes(groups))
     made = made.unionByName(P.source_pages(sources, claims, chunks)).unionByName(P.overview_page(made))
@@ -270,17 +273,13 @@ def retract_source(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage_rows(spark: SparkSession, d: str) -> DataFrame:
     """2.14.4: counts per source."""
-    sources = D.pages(spark, d)
-    blocks, evidence, units = S.compile_structure(sources)
-    chunks = S.chunks(sources)
-    return Q.coverage_rows(sources, blocks, evidence, units, chunks, C.merge_claims(C.claims(units, chunks))).select("source_id", *(F.col(c).cast("long").alias(c) for c in ("blocks", "evidence", "units", "chunks", "claim_mentions")))
+    return Q.coverage_rows(*_page_claims(spark, d)).select("source_id", *(F.col(c).cast("long").alias(c) for c in ("blocks", "evidence", "units", "chunks", "claim_mentions")))
 
 
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     """2.14.3, 2.14.5, 2.14.6: units without claims, by class."""
-    sources = D.pages(spark, d)
-    _, _, units = S.compile_structure(sources)
-    return Q.gap_summary(Q.coverage_gaps(units, C.merge_claims(C.claims(units, S.chunks(sources)))))
+    _, _, _, units, _, claims = _page_claims(spark, d)
+    return Q.gap_summary(Q.coverage_gaps(units, claims))
 
 
 def id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
@@ -290,10 +289,7 @@ def id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 
 def lint(spark: SparkSession, d: str) -> DataFrame:
     """2.14: all checks over what pages compile to."""
-    sources = D.pages(spark, d)
-    blocks, evidence, units = S.compile_structure(sources)
-    chunks = S.chunks(sources)
-    claims = C.merge_claims(C.claims(units, chunks))
+    sources, blocks, evidence, units, chunks, claims = _page_claims(spark, d)
     reviews = N.claim_reviews(claims)
     return Q.checks({"sources": sources, "blocks": blocks, "evidence": evidence, "units": units, "chunks": chunks, "claims": claims, "pages": P.source_pages(sources, claims, chunks), "reviews": reviews})
 

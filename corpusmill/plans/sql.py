@@ -125,14 +125,14 @@ ev AS (SELECT source_id, start_line, CASE WHEN takes THEN n_end ELSE end_line EN
   structure_block_id || CASE WHEN takes THEN '|' || next_block_id ELSE '' END AS sids FROM m2),
 ev2 AS (SELECT *, CASE WHEN takes THEN local_heading || chr(10) || {strip('n_text')} WHEN block_type = 'list_item' THEN local_heading ELSE raw_text END AS text FROM ev)"""
 
-PAGES = """pg AS (SELECT 'page_' || doc_id AS page_id, doc_id, coalesce(text, '') AS text, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 60) AS title, source, lang, CASE doc_id % 3 WHEN 0 THEN 'concept' WHEN 1 THEN 'source-summary' ELSE 'topic' END AS type, CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END AS status FROM documents)"""
+PAGES = """pg AS (SELECT 'page_' || doc_id AS page_id, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS title, source, lang, CASE doc_id % 3 WHEN 0 THEN 'concept' WHEN 1 THEN 'source-summary' ELSE 'topic' END AS type, CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END AS status FROM documents)"""
 
 _SUM = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda r: {strip('r')}), lambda r: r <> ''), ' ')"
 _CUT = f"CASE WHEN length({_SUM}) <= 120 THEN {_SUM} ELSE rtrim(substr({_SUM}, 1, 117)) || '...' END"
 FIELDS = f"""{PAGES},
 fx AS (SELECT page_id, 'title' AS field, title AS x FROM pg UNION ALL SELECT page_id, 'aliases', source FROM pg UNION ALL SELECT page_id, 'hierarchy', concat_ws(' ', lang, source) FROM pg UNION ALL SELECT page_id, 'summary', {_CUT} FROM pg
   UNION ALL SELECT page_id, 'headings', array_to_string(list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*#+[ \\t]*(\\S[^\\n]*)$', 1), lambda h: trim(h)), lambda h: h <> ''), ' ') FROM pg
-  UNION ALL SELECT page_id, 'claim_text', array_to_string(string_split(text, chr(10))[1:3], ' ') FROM pg UNION ALL SELECT page_id, 'body', {plain('text')} FROM pg UNION ALL SELECT page_id, 'source_refs', 'raw/' || source FROM pg),
+  UNION ALL SELECT page_id, 'claim_text', array_to_string(string_split(text, chr(10)), ' ') FROM pg UNION ALL SELECT page_id, 'body', {plain('text')} FROM pg UNION ALL SELECT page_id, 'source_refs', 'raw/' || source FROM pg),
 fn AS (SELECT page_id, field, {normal("coalesce(x, '')")} AS n FROM fx),
 ft AS (SELECT page_id, field, {tokens('n')} AS toks FROM fn),
 tk AS (SELECT page_id, field, len(toks) AS length, unnest(toks) AS token FROM ft),
@@ -180,7 +180,7 @@ SQL: dict[str, str] = {
   p AS (SELECT a.source_id, a.section, d.depth AS d, arg_max(d.title, d.section) AS title FROM h a JOIN h d ON d.source_id = a.source_id AND d.section <= a.section AND d.depth <= a.depth GROUP BY ALL),
   pp AS (SELECT source_id, section, string_agg(title, ' > ' ORDER BY d) AS path FROM p GROUP BY ALL)
   SELECT source_id, section::BIGINT AS section, CASE WHEN section = 0 THEN '{T.PREAMBLE}' ELSE any_value(path) END AS section_path, min(line_no)::BIGINT AS start_line, max(line_no)::BIGINT AS end_line FROM c LEFT JOIN pp USING (source_id, section) GROUP BY source_id, section""",
-    "document_frequency": f"WITH {FIELDS} SELECT field, token, count(*) AS df FROM po WHERE field IN ('title', 'summary', 'aliases') GROUP BY field, token",
+    "document_frequency": f"WITH {FIELDS} SELECT field, token, count(*) AS df FROM po GROUP BY field, token",
     "field_statistics": f"WITH {FIELDS} SELECT field, count(*) AS pages, round(avg(len(toks)), 6) AS average FROM ft GROUP BY field",
     "bm25_body": f"""WITH {PAGES}, {ASKED}, fn AS (SELECT page_id, 'body' AS field, {normal('text')} AS n FROM pg), ft AS (SELECT page_id, field, {tokens('n')} AS toks FROM fn), tk AS (SELECT page_id, field, len(toks) AS length, unnest(toks) AS token FROM ft),
   po AS (SELECT page_id, field, token, count(*) AS tf, any_value(length) AS length FROM tk GROUP BY page_id, field, token), {STATS}, r AS (SELECT query_id, page_id, round(score, 6) AS score FROM fs)
@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
   s3 AS (SELECT query_id, page_id, title, intent, round(s * {case('type', X.TYPE_WEIGHTS, 0.7)} * {case('status', X.STATUS_WEIGHTS, 0.8)} * CASE WHEN n = '' THEN 1.0 WHEN tn = n THEN 1.35 WHEN cn = n THEN 1.3 WHEN an = n THEN 1.25 ELSE 1.0 END * CASE WHEN intent = 'timeline' AND status = 'stable' THEN 1.05 ELSE {_KIND} END, 6) AS score FROM s2)
   SELECT query_id::INT AS query_id, row_number() OVER w::INT AS rank, page_id, intent, score FROM s3 WHERE score > 0 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, title DESC, page_id) QUALIFY row_number() OVER w <= 5""",
     "query_intents": f"WITH a AS (SELECT coalesce(text, '') AS t, {normal(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS n FROM conversations WHERE role = 'user') SELECT {intent('t', 'n')} AS intent, count(*) AS turns FROM a GROUP BY 1",
-    "alias_conflicts": f"""WITH a AS (SELECT doc_id, coalesce(substr(string_split(text, chr(10))[1], 1, 60), '') AS alias, 'src:' || source AS c FROM documents UNION ALL SELECT doc_id, lang, 'src:' || source FROM documents), b AS (SELECT DISTINCT doc_id, {normal('alias')} AS alias, c FROM a), g AS (SELECT alias, list_sort(list_distinct(list(c))) AS cs, count(DISTINCT doc_id) AS pages FROM b WHERE alias <> '' GROUP BY alias)
+    "alias_conflicts": f"""WITH a AS (SELECT doc_id, coalesce(string_split(text, chr(10))[1], '') AS alias, 'src:' || source AS c FROM documents UNION ALL SELECT doc_id, lang, 'src:' || source FROM documents), b AS (SELECT DISTINCT doc_id, {normal('alias')} AS alias, c FROM a), g AS (SELECT alias, list_sort(list_distinct(list(c))) AS cs, count(DISTINCT doc_id) AS pages FROM b WHERE alias <> '' GROUP BY alias)
   SELECT alias, len(cs)::BIGINT AS canonicals, pages, sha256({normal('alias')} || '::' || array_to_string(cs, '|')) AS signature FROM g WHERE len(cs) > 1""",
     "claim_quality_rules": f"""WITH {_LINES} SELECT CASE WHEN regexp_matches({strip('line')}, '[？?]$') THEN 'question' WHEN {noise('c')} OR length({re_('c', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')}) < 6 THEN 'fragment' ELSE 'standalone' END AS quality, count(*) AS lines FROM dn GROUP BY 1""",
     "claim_role_rules": f"""WITH {_LINES}, r AS (SELECT CASE WHEN regexp_matches({strip('line')}, '[？?]$') THEN 'meta' WHEN contains(line, '|') THEN 'reference' ELSE 'fact' END AS role FROM dn)

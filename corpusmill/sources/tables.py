@@ -9,8 +9,15 @@ from ..functions import ids
 from ..functions import text as T
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer file splits than there are cores is dealt out to all, as its texts are worth more than the shuffle."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in TEXTS and rows.rdd.getNumPartitions() < cores
+    return rows.repartition(cores) if few else rows
 
 
 def as_sources(rows: DataFrame, path: Column, ord_: Column, title: Column, body: Column, kind: str, *more: Column) -> DataFrame:
