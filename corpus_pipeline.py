@@ -1,6 +1,9 @@
 """From raw documents to token ids: quality, language, near duplicates, mixture, encoding.
 
 Each stage takes what its predecessor kept and, but for the last, returns the columns of documents.
+Every stage passes columns of any names through, takes null ids and sources, and gives no rows for
+an empty table. Null and empty texts are scored as empty ones, are in no known language (the second
+stage drops them), have no near duplicates, and mix with size 0.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good_quality), ("language ID", known_language), ("n-gram Jaccard join", near_duplicates), ("mixing", mixture), ("SentencePiece", pieces)]
 
-#: Classifiers can't be written in SQL; tests compare the stages with brute force.
+#: Classifiers can't be written in SQL; tests compare the operators with brute force, and each stage with what its operator says.
 ORACLE_SQL = None
 
 
