@@ -1,60 +1,63 @@
 """Incremental compilation: new and changed files in micro-batches, with retraction.
 
-Tables are Parquet folders of versions under a root; ``current`` names the version in use and is
-replaced last, so a run that fails leaves the old state.
+Tables are Parquet folders partitioned by batch. A batch adds its own rows, a row to ``tombstones``
+for each source that it retracts, and last its number to ``commits``: readers see the batches
+listed there, so a batch that fails leaves the old state, and one that is run again replaces what
+it left. What is in the tables already is never written again.
 """
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
-from ..operators import reviews as R
 from ..operators import structure as S
+from ..sources.stages import staged
 
 TABLES = ("sources", "blocks", "evidence", "units", "chunks", "mentions")
 
 
 class Store:
-    """Versioned tables on any file system that Spark reaches."""
+    """Tables by batch on any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _all(self, name: str) -> DataFrame | None:
+        """A table as it lies, None before its first row."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
-    def version(self) -> str | None:
-        """The newest committed version: its marker is written after all of its tables."""
-        if not self.fs.exists(self._path("versions")):
-            return None
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._path("versions"))]
-        return max((n for n in names if not n.startswith(".")), default=None)
+    def last(self) -> int:
+        """The number of the latest batch, -1 before the first."""
+        commits = self._all("commits")
+        return -1 if commits is None else commits.agg(F.max("batch")).first()[0]
 
     def read(self, name: str) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/tables/{v}/{name}") if v else None
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Write a whole version, then its marker. Old versions stay until vacuum()."""
-        last = self.version()
-        v = f"{int(last.split('-')[0]) + 1 if last else 0:09d}-{uuid.uuid4().hex[:8]}"
-        for name, rows in tables.items():
-            rows.write.parquet(f"{self.root}/tables/{v}/{name}")
-        self.fs.create(self._path(f"versions/{v}")).close()
-        return v
-
-    def vacuum(self) -> None:
-        v = self.version()
-        if self.fs.exists(self._path("tables")):
-            for s in self.fs.listStatus(self._path("tables")):
-                if s.getPath().getName() != v:
-                    self.fs.delete(s.getPath(), True)
+        """Rows of finished batches whose source no later batch has retracted."""
+        commits, rows = self._all("commits"), self._all(name)
+        if commits is None or rows is None:
+            return None
+        rows = rows.join(F.broadcast(commits.select("batch")), "batch", "left_semi")  # a row for each batch
+        gone = self._all("tombstones")
+        if gone is not None:
+            gone = gone.join(F.broadcast(commits.select("batch")), "batch", "left_semi").groupBy("source_id").agg(F.max("batch").alias("gone_at"))
+            rows = rows.join(gone, "source_id", "left").where("gone_at IS NULL OR batch >= gone_at").drop("gone_at")
+        return rows.drop("batch")
+
+    def commit(self, tables: dict[str, DataFrame], gone: DataFrame, batch: int) -> int:
+        """Write a batch, its tombstones, then its number. Rows that a failed run left under the number are replaced."""
+        gone = staged(gone.select("source_id"), "gone")  # it is read from tables that are written now
+        for name, rows in (*tables.items(), ("tombstones", gone)):
+            rows.withColumn("batch", F.lit(batch)).write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{name}")
+        self.spark.createDataFrame([(batch,)], "batch int").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        return batch
 
 
 def register(scan: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -78,27 +81,19 @@ def compile_batch(fresh: DataFrame) -> dict[str, DataFrame]:
     return {"sources": fresh, "blocks": blocks, "evidence": evidence, "units": units, "chunks": chunks, "mentions": C.claims(units, chunks)}
 
 
-def apply_batch(store: Store, scan: DataFrame) -> str | None:
-    """Bring the store up to a scan of sources; the version made, or None where nothing changed."""
+def apply_batch(store: Store, scan: DataFrame) -> int | None:
+    """Bring the store up to a scan of sources; the number of the batch made, or None where nothing changed."""
     fresh, gone = register(scan, store.read("sources"))
-    fresh = fresh.persist()
-    try:
-        if fresh.isEmpty():
-            return None
-        made, out = compile_batch(fresh), {}
-        for name in TABLES:
-            old = store.read(name)
-            out[name] = made[name] if old is None else old.join(gone, "source_id", "left_anti").unionByName(made[name])
-        return store.commit(out)
-    finally:
-        fresh.unpersist()
+    fresh = staged(fresh, "fresh")
+    if fresh.isEmpty():
+        return None
+    return store.commit(compile_batch(fresh), gone, store.last() + 1)
 
 
-def tombstones(store: Store, scan: DataFrame) -> str | None:
+def tombstones(store: Store, scan: DataFrame) -> int | None:
     """Retract sources whose path the scan no longer has."""
-    known = store.read("sources")
-    gone = known.join(scan.select("source_path"), "source_path", "left_anti").select("source_id")
-    return None if gone.isEmpty() else store.commit({n: store.read(n).join(gone, "source_id", "left_anti") for n in TABLES})
+    gone = store.read("sources").join(scan.select("source_path"), "source_path", "left_anti").select("source_id")
+    return None if gone.isEmpty() else store.commit({}, gone, store.last() + 1)
 
 
 def merged_claims(store: Store) -> DataFrame:
@@ -109,7 +104,3 @@ def merged_claims(store: Store) -> DataFrame:
 def start(spark: SparkSession, source, store: Store, checkpoint: str):
     """Run a stream of sources into the store until what is available is done. ``source``: a streaming frame with the columns of a scan."""
     return source.writeStream.foreachBatch(lambda batch, _: apply_batch(store, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def retract(claims: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return R.retract_sources(claims, gone)
