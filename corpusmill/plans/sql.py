@@ -99,8 +99,9 @@ _LEVELS = range(1, 7)
 _LAST = ", ".join(f"max(CASE WHEN level = {k} THEN line_no END) OVER w AS t{k}" for k in _LEVELS)
 _OPEN = ", ".join(f"CASE WHEN t{k} > greatest(0{''.join(f', coalesce(t{j}, 0)' for j in range(1, k))}) THEN t{k} END" for k in _LEVELS)
 
-#: Blocks of web pages; these hold no code fences.
-BLOCKS = f"""{WEB}, {lines('web')},
+def blocks(base: str, table: str) -> str:
+    """Blocks of a table's texts; the test tables hold no code fences."""
+    return f"""{base}, {lines(table)},
 k AS (SELECT *, {_TYPE} AS kind FROM l),
 f AS (SELECT *, CASE WHEN kind = 'heading' THEN length(regexp_extract(s, '^(#+)', 1)) END AS level,
   CASE WHEN kind = 'blank' THEN 0 WHEN kind = 'paragraph' THEN (coalesce(lag(kind) OVER (PARTITION BY source_id ORDER BY line_no), '') <> 'paragraph')::INT ELSE 1 END AS fresh FROM k),
@@ -109,22 +110,27 @@ h AS (SELECT *, list_filter([{_OPEN}], lambda x: x IS NOT NULL) AS stack FROM g
 b0 AS (SELECT source_id, ord, block, min(line_no) AS start_line, max(line_no) AS end_line, arg_min(kind, line_no) AS block_type, arg_min(stack, line_no) AS stack, {re_("string_agg(line, chr(10) ORDER BY line_no)", chr(92) + 's+' + chr(92) + 'z')} AS raw FROM h GROUP BY ALL),
 ht AS (SELECT source_id, line_no, {re_(inline(re_('s', '^#{1,6}' + chr(92) + 's+')), chr(92) + 's+', ' ')} AS title FROM k WHERE kind = 'heading'),
 b1 AS (SELECT *, {strip('raw')} AS text, 'sb_' || source_id || '_' || start_line || '_' || end_line || '_' || substr(sha256(source_id || '|' || start_line || '|' || end_line || '|' || raw), 1, 10) AS structure_block_id FROM b0),
-pt AS (SELECT b.source_id, b.block, string_agg(ht.title, ' > ' ORDER BY ht.line_no) AS path FROM b1 b JOIN ht ON ht.source_id = b.source_id AND list_contains(b.stack, ht.line_no) GROUP BY ALL),
-blocks AS (SELECT b.*, coalesce(pt.path, '') AS path, lead(structure_block_id) OVER w AS next_block_id, lead(block_type) OVER w AS n_type, lead(pt.path) OVER w AS n_path, lead(text) OVER w AS n_text, lead(end_line) OVER w AS n_end
+pt AS (SELECT b.source_id, b.block, string_agg(ht.title, ' > ' ORDER BY ht.line_no) AS path, list(ht.title ORDER BY ht.line_no) AS parts FROM b1 b JOIN ht ON ht.source_id = b.source_id AND list_contains(b.stack, ht.line_no) GROUP BY ALL),
+blocks AS (SELECT b.*, coalesce(pt.path, '') AS path, coalesce(pt.parts, []) AS parts, lead(structure_block_id) OVER w AS next_block_id, lead(block_type) OVER w AS n_type, lead(pt.path) OVER w AS n_path, lead(text) OVER w AS n_text, lead(end_line) OVER w AS n_end
   FROM b1 b LEFT JOIN pt ON pt.source_id = b.source_id AND pt.block = b.block WINDOW w AS (PARTITION BY b.source_id ORDER BY start_line))"""
 
-EVIDENCE = f"""{BLOCKS},
+
+def evidence(base: str, table: str) -> str:
+    return f"""{blocks(base, table)},
 t AS (SELECT *, block_type = 'list_item' AND coalesce(n_type, '') = 'paragraph' AND coalesce(n_path, '') = path AS takes FROM blocks),
 t2 AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY source_id ORDER BY start_line), false) AS taken FROM t),
 m0 AS (SELECT *, {clean('text')} AS c0 FROM t2 WHERE NOT taken AND block_type <> 'table_separator'),
 m1 AS (SELECT *, {inline('c0')} AS meta FROM m0),
 m2 AS (SELECT *, trim(regexp_extract(meta, '^([^：:\\n]{{1,24}})[：:]\\s*([^\\n]+)$', 1)) AS mk, trim(regexp_extract(meta, '^([^：:\\n]{{1,24}})[：:]\\s*([^\\n]+)$', 2)) AS mv FROM m1),
-ev AS (SELECT source_id, start_line, CASE WHEN takes THEN n_end ELSE end_line END AS end_line, CASE WHEN takes THEN 2 ELSE 1 END AS blocks,
+ev AS (SELECT source_id, ord, path, parts, mk, mv, raw, start_line, CASE WHEN takes THEN n_end ELSE end_line END AS end_line, CASE WHEN takes THEN 2 ELSE 1 END AS blocks,
   CASE WHEN block_type = 'heading' THEN 'section_heading' WHEN takes THEN 'list_item_with_body' WHEN block_type = 'code_block' THEN 'code_example' WHEN block_type = 'paragraph' AND mk <> '' AND mv <> '' AND NOT contains(lower(mk), 'http') AND NOT contains(lower(mk), 'file') THEN 'metadata_line' ELSE block_type END AS block_kind,
   CASE WHEN block_type = 'heading' THEN {inline(strip(re_('text', '^#+')))} WHEN block_type = 'list_item' THEN {inline(re_(re_(strip('text'), '^' + chr(92) + 's*[-*+]' + chr(92) + 's+'), '^' + chr(92) + 's*' + chr(92) + 'd+[.)]' + chr(92) + 's+'))} END AS local_heading, text AS raw_text, n_text, takes, block_type,
   structure_block_id || CASE WHEN takes THEN '|' || next_block_id ELSE '' END AS sids FROM m2),
 ev2 AS (SELECT *, CASE WHEN takes THEN local_heading || chr(10) || {strip('n_text')} WHEN block_type = 'list_item' THEN local_heading ELSE raw_text END AS text FROM ev)"""
 
+
+BLOCKS, EVIDENCE = blocks(WEB, "web"), evidence(WEB, "web")
+
 PAGES = """pg AS (SELECT 'page_' || doc_id AS page_id, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10))[1] AS title, source, lang, CASE doc_id % 3 WHEN 0 THEN 'concept' WHEN 1 THEN 'source-summary' ELSE 'topic' END AS type, CASE WHEN doc_id % 2 = 0 THEN 'stable' ELSE 'draft' END AS status FROM documents)"""
 
 _SUM = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda r: {strip('r')}), lambda r: r <> ''), ' ')"
