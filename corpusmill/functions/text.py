@@ -429,3 +429,40 @@ def file_component(x: Text, most: int = 240, separator: str = "_") -> Column:
     """A file name of bounded bytes: longer ones end in 12 digits of their hash."""
     x = col(x)
     return F.when(F.octet_length(x) <= most, x).otherwise(F.concat(truncate_bytes(x, most - 12 - len(separator)), F.lit(separator), F.substring(F.sha2(x.cast("binary"), 256), 1, 12)))
+
+
+# How an overview page introduces what it says of a page, in the order in which it is taken off.
+OVERVIEW_FRAMES = (
+    r"(?i)\s*\(claims=\d+\s*,\s*sources=\d+\)\s*$", r"^如果你[^，。；:：]{0,32}[，,:：]\s*", r"[。.!?]+$",
+    r"^这个主题(?:会|将)?(?:解释|说明|介绍|展示|聚焦|围绕|讨论|主要讲)(?:了)?\s*", r"^如果你(?:更)?想[^，。；:：]{0,24}?(?:先读|先看|再看|接着读|优先从)\s*", r"^(?:建议|可以|可先|优先)?\s*(?:先读|先看|再看|接着读|优先从|从)\s*",
+    r"(?:\s*(?:主题|页面|页))?(?:\s*(?:往下钻|继续往下钻|开始|入手|了解))?\s*$",
+)
+
+
+def overview_statement(x: Text) -> Column:
+    """What an overview says of a page, without the phrases around it."""
+    x = sub(plain_text(x), OVERVIEW_FRAMES[0])
+    x = F.replace(x, F.lit("|"), F.lit(" "))
+    for pattern in OVERVIEW_FRAMES[1:]:
+        x = sub(x, pattern)
+    return F.btrim(x, F.lit(TRIM_CLEAN))
+
+
+def quoted_path(x: Text) -> Column:
+    """A path as part of an URL: everything but letters, digits and ``/._-~`` in percent form."""
+    quoted = F.replace(F.url_encode(col(x)), F.lit("+"), F.lit("%20"))
+    for code, char in (("%2F", "/"), ("%7E", "~")):
+        quoted = F.replace(quoted, F.lit(code), F.lit(char))
+    return F.replace(quoted, F.lit("*"), F.lit("%2A"))
+
+
+def relative_link(from_page: Text, to_page: Text) -> Column:
+    """The link from one page's folder to another page, both as paths from the same root."""
+    parts = F.struct(F.filter(F.split(sub(from_page, "[^/]*$"), "/"), lambda p: p != "").alias("a"), F.filter(F.split(col(to_page), "/"), lambda p: p != "").alias("b"))
+
+    def link(v: Column) -> Column:
+        most = F.least(F.size(v["a"]), F.size(v["b"]))
+        places = F.filter(F.sequence(F.lit(0), most), lambda k: F.slice(v["a"], 1, k) == F.slice(v["b"], 1, k))
+        return let(F.array_max(places), lambda k: quoted_path(F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(v["a"]) - k), F.slice(v["b"], k + 1, F.size(v["b"]))), "/")))
+
+    return let(parts, link)

@@ -83,3 +83,23 @@ def redacted(json: Column, secrets: list[str] = ()) -> Column:
     for s in secrets:
         out = F.replace(out, F.lit(s), F.lit("***"))
     return out
+
+
+def usage(attempts: DataFrame) -> DataFrame:
+    """(run_id, requests, attempts, retries, failed, repaired, waited_ms, took_ms, with_usage, without_usage, input_tokens, output_tokens) of model calls.
+
+    Attempts: run_id, request_id, status, repaired, backoff_ms, duration_ms, usage_available,
+    input_tokens, output_tokens; a request without attempts is a row whose status is null.
+    """
+    made, has = F.col("status").isNotNull(), F.coalesce("usage_available", F.lit(False))
+    total = lambda c, when=None: F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c))), F.lit(0)).cast("long")
+    rows = attempts.groupBy("run_id").agg(
+        F.count_distinct("request_id").alias("requests"), F.count_if(made).alias("attempts"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.coalesce("repaired", F.lit(False))).alias("repaired"),
+        total("backoff_ms").alias("waited_ms"), total("duration_ms").alias("took_ms"), F.count_if(made & has).alias("with_usage"), total("input_tokens", has).alias("input_tokens"), total("output_tokens", has).alias("output_tokens"),
+    )
+    return rows.withColumns({"retries": F.greatest(F.col("attempts") - F.col("requests"), F.lit(0)), "without_usage": F.col("attempts") - F.col("with_usage")})
+
+
+def backend_time(attempts: DataFrame) -> DataFrame:
+    """(run_id, backend, took_ms)."""
+    return attempts.where("status IS NOT NULL").groupBy("run_id", F.coalesce(F.nullif("backend", F.lit("")), F.lit("unknown")).alias("backend")).agg(F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("took_ms"))

@@ -10,16 +10,19 @@ from ..functions import text as T
 from ..operators import claims as C
 from ..operators import concepts as K
 from ..operators import graph as G
+from ..operators import lifecycle as Y
 from ..operators import lineage as L
 from ..operators import lint as Q
 from ..operators import pages as P
 from ..operators import reviews as R
+from ..operators import routing as I
 from ..operators import search as X
 from ..operators import semantic as M
 from ..operators import similarity as N
 from ..operators import structure as S
+from ..sources import records as E
 from ..sources import tables as D
-from ..sources.stages import staged
+from ..sources.stages import fresh_path, staged
 
 #: What the retrieval queries ask.
 QUESTIONS = ["the and attion", "reference thing ereation", "overview of the stion", "how to thean ouer", "ouon des les la", "timeline of nd onion", "ungen keit der die", "what is ing er"]
@@ -313,7 +316,90 @@ def markdown_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("source_id", F.size(T.links("text")).cast("long").alias("links"), F.size(T.headings("text")).cast("long").alias("headings"), F.length(T.plain_text("text")).cast("long").alias("plain_chars"))
 
 
+def record_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """2.1.3, 2.1.4, 2.1.5, 2.1.9: labels as stored records; toxic ones are replaced by records without quality."""
+    schema, path = "doc_id long, quality long, toxic long", fresh_path(spark, "ledger")
+    labels = D.table(spark, d, "labels").select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "quality", "toxic")))
+    E.write_jsonl(labels.where("quality = 1"), path)
+    E.append_jsonl(labels.where("quality IS NULL OR quality <> 1"), path)
+    old = E.load_jsonl(spark, path, schema)
+    E.write_jsonl(E.replaced(old, old.where("toxic = 1").withColumn("quality", F.lit(0).cast("long")).distinct(), "doc_id"), path)
+    return E.load_jsonl(spark, path, schema)
+
+
+def record_filters(spark: SparkSession, d: str) -> DataFrame:
+    """2.1.10, 2.1.12: records of one source are replaced by shorter ones, each source having a folder of its own."""
+    rows = D.table(spark, d, "documents").select(F.concat(F.lit("s-"), F.coalesce("source", F.lit("none"))).alias("source_id"), "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    path = fresh_path(spark, "by-source")
+    E.write_by_source(E.replaced_where(rows, F.col("source_id") != "s-src1", rows.where("source_id = 's-src1' AND chars < 1000")), path)
+    return E.load_jsonl(spark, path, "doc_id long, chars long, source_id string").groupBy("source_id").agg(F.count("*").alias("records"), F.sum("chars").alias("chars"))
+
+
+def _labelled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as page records: toxic ones are removed, those of no quality archived."""
+    labels = D.table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    rows = D.table(spark, d, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left")
+    return rows.select(F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), "source", "lang", (F.col("toxic") == 1).alias("removed"), F.when(F.col("quality") == 0, F.lit("2024-01-01")).alias("archived_at")).withColumn("lifecycle_status", Y.page_status())
+
+
+def page_lifecycles(spark: SparkSession, d: str) -> DataFrame:
+    """2.4.13, 2.4.20: states of pages, and which are live."""
+    return _labelled_pages(spark, d).groupBy("source", "lifecycle_status", Y.is_live_page().alias("live")).agg(F.count("*").alias("pages"))
+
+
+def review_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """2.4.19, 2.8.11: one review a question of a conversation; reviews that are live stand over their historical rows."""
+    turns = D.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("review_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["review_id"])
+    rows = turns.select("review_id", F.lpad(F.col("turn").cast("string"), 9, "0").alias("created_at"), F.lit(None).cast("string").alias("resolved_at"), F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.array(F.md5(F.col("text").cast("binary")))).alias("candidate_claim_ids"), F.array().cast("array<string>").alias("candidate_page_ids"), F.lit("active").alias("lifecycle_status"))
+    live, old = rows.where("created_at < '000000003'").withColumn("archived_at", F.lit(None).cast("string")), rows.withColumn("archived_at", F.lit("2024-01-01"))
+    return Y.review_ledger(live, old).select("review_id", Y.review_status().alias("lifecycle_status"), "created_at")
+
+
+def alias_actions(spark: SparkSession, d: str) -> DataFrame:
+    """2.9.24: a source's name as alias goes from all of its pages and is assigned to the first."""
+    rows = D.table(spark, d, "documents").where("source IS NOT NULL").select("doc_id", F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("page_id"), F.array_compact(F.array("source", "lang")).alias("aliases"), "source")
+    first = rows.groupBy("source").agg(F.min("doc_id").alias("first"))
+    return Y.with_alias_action(rows, rows.join(first, "source").select("page_id", F.col("source").alias("alias"), (F.col("doc_id") == F.col("first")).alias("assign")))
+
+
+def structured_sources(spark: SparkSession, d: str) -> DataFrame:
+    """2.10.1: pages that have blocks, evidence and units."""
+    return Y.structured_sources(*S.compile_structure(D.pages(spark, d)))
+
+
+def _routable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    _, _, evidence, _, _, claims = _page_claims(spark, d)
+    groups = staged(I.with_roles(K.grouped(claims)), "groups")
+    return groups, staged(I.structure_context(groups, evidence), "context")
+
+
+def page_intent_routes(spark: SparkSession, d: str) -> DataFrame:
+    """2.7.20, 2.7.21, 2.12.9, 2.12.10, 2.12.12, 2.12.13: groups of pages' claims by intent; those of two claims may be concepts."""
+    groups, context = _routable(spark, d)
+    worthy = groups.where(~K.blocks_concept()).groupBy("group").agg(F.count("*").alias("n")).where("n >= 2")
+    rows = I.routed(I.signals(groups, context), worthy).join(I.intent_items(groups), "group")
+    return rows.select("group", "claims", "source_page_intent", "page_intent", "route_reason", "confidence", F.array_join("claim_texts", "\n").alias("texts"))
+
+
+def structure_projection(spark: SparkSession, d: str) -> DataFrame:
+    """2.6.7, 2.6.8, 2.7.3: commonest sections, metadata keys and evidence kinds of each group of pages' claims."""
+    return I.structure_projection(*_routable(spark, d)).where("kind <> 'feature'")
+
+
+def intent_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """2.13.5: what a reference page and a topic page of each labelled group are called."""
+    rows = topic_labels(spark, d).withColumn("intent", F.explode(F.array(F.lit("reference"), F.lit("topic"))))
+    return rows.select("group", "intent", I.descriptor(F.col("intent"), F.col("topic"), F.lit("")).alias("x")).select("group", "intent", "x.*")
+
+
+def rendered_claims(spark: SparkSession, d: str) -> DataFrame:
+    """2.13.12, 2.4.17: how many claims of each group of pages a concept page is written from."""
+    groups, _ = _routable(spark, d)
+    return I.rendered_claims(groups).groupBy("group").agg(F.count("*").alias("claims"), F.min("claim_id").alias("first_claim"))
+
+
 QUERIES = {f.__name__: f for f in (
     source_register, source_latest_active, page_blocks, page_evidence, page_sections, document_chunks, conversation_chunks, claims_extract, claims_merge, claims_merged_full, unit_chunk_join, claim_tokens, claim_reviews, document_frequency, field_statistics, bm25_multifield, bm25_body, reading_packs, query_intents,
     alias_conflicts, page_links, related_pages, concept_groups, topic_labels, canonical_claims, compiled_pages, claim_quality_rules, claim_role_rules, page_intents, decision_cache_miss, retract_source, coverage_rows, coverage_gaps, id_uniqueness, lint, lineage_summary, word_counter, markdown_links,
+    record_upserts, record_filters, page_lifecycles, review_ledger, alias_actions, structured_sources, page_intent_routes, structure_projection, intent_descriptors, rendered_claims,
 )}

@@ -165,6 +165,13 @@ gl1 AS (SELECT *, list_filter(ps, lambda p: NOT {generic('p')} AND NOT (regexp_m
 gl2 AS (SELECT *, array_to_string((CASE WHEN len(good) > 0 THEN good ELSE ps END)[-3:], ' / ') AS label FROM gl1),
 gr AS MATERIALIZED (SELECT *, CASE WHEN label <> '' AND NOT {generic('label')} THEN {key(concept_title('label'), 'concept')} ELSE {own_group()} END AS grp FROM gl2)"""
 
+#: Claims of pages by group, with role and hint.
+ROLES = f"""ro AS (SELECT *, CASE WHEN regexp_matches({strip('text')}, '[？?]$') THEN 'meta' WHEN claim_origin_kind IN ('table_fact', 'metadata_fact') THEN 'reference' WHEN claim_origin_kind = 'code_example' THEN 'example' ELSE 'fact' END AS role FROM gr),
+rh AS (SELECT *, CASE role WHEN 'meta' THEN 'reject' WHEN 'reference' THEN 'reference' WHEN 'example' THEN 'example' ELSE 'topic' END AS hint FROM ro),
+kn AS (SELECT DISTINCT normalized_text, evidence_block_id FROM cl WHERE evidence_block_id IS NOT NULL),
+kk AS (SELECT kn.normalized_text, u.block_kind, CASE WHEN u.block_kind = 'metadata_line' THEN u.mk END AS mk FROM kn JOIN u USING (evidence_block_id)),
+gk AS (SELECT grp, block_kind, mk FROM rh JOIN kk USING (normalized_text))"""
+
 DOC_CLAIMS, WEB_CLAIMS = claims(DOCS, "docs"), claims(WEB, "web")
 _CHUNK = "chunk_id, source_id, section_path, chunk_index::INT AS chunk_index, start_line::INT AS start_line, end_line::INT AS end_line, length(text)::INT AS char_count"
 
@@ -192,4 +199,25 @@ SQL: dict[str, str] = {
   SELECT page_id, related_id, 'family' AS reason, rank FROM r WHERE rank <= 8""",
     "markdown_links": f"""WITH {WEB} SELECT source_id, len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '(!?\\[[^\\]]+\\]\\([^)]+\\))'), lambda m: NOT starts_with(m, '!')), lambda m: {strip("regexp_extract(m, '" + chr(92) + "]" + chr(92) + "(([^)]+)" + chr(92) + ")$', 1)")})))::BIGINT AS links,
   len(list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*#+[ \\t]*(\\S[^\\n]*)$', 1), lambda h: {strip('h')}), lambda h: h <> ''))::BIGINT AS headings, length({plain('text')})::BIGINT AS plain_chars FROM web""",
+    "record_upserts": "SELECT doc_id::BIGINT AS doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels",
+    "record_filters": "SELECT 's-' || coalesce(source, 'none') AS source_id, count(*) AS records, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents WHERE source IS DISTINCT FROM 'src1' OR length(coalesce(text, '')) < 1000 GROUP BY 1",
+    "page_lifecycles": """WITH b AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1), p AS (SELECT source, CASE WHEN toxic = 1 THEN 'removed' WHEN quality = 0 THEN 'archived' ELSE 'active' END AS lifecycle_status FROM documents LEFT JOIN b USING (doc_id))
+  SELECT source, lifecycle_status, lifecycle_status = 'active' AS live, count(*) AS pages FROM p GROUP BY ALL""",
+    "review_ledger": """SELECT DISTINCT conv_id || '-' || turn AS review_id, CASE WHEN turn >= 3 THEN 'archived' WHEN coalesce(text, '') = '' THEN 'superseded' ELSE 'active' END AS lifecycle_status, lpad(turn::VARCHAR, 9, '0') AS created_at FROM conversations WHERE role = 'user'""",
+    "alias_actions": """WITH f AS (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY source) AS first FROM documents WHERE source IS NOT NULL)
+  SELECT 'page_' || doc_id AS page_id, list_sort(list_filter([CASE WHEN first THEN source END, lang], lambda x: x IS NOT NULL)) AS aliases FROM f""",
+    "structured_sources": f"WITH {evidence(WEB, 'web')} SELECT DISTINCT source_id FROM ev2 WHERE {strip('text')} <> ''",
+    "page_intent_routes": f"""WITH RECURSIVE {WEB_CLAIMS}, {GROUPS}, {ROLES}, r_n AS (SELECT grp, count(*) AS claims, count(*) FILTER (hint = 'reject') AS j, count(*) FILTER (hint = 'reference') AS r, count(*) FILTER (hint = 'example') AS e, count(*) FILTER (hint = 'topic') AS t, count(*) FILTER (role <> 'meta' AND role <> 'example') >= 2 AS worthy FROM rh GROUP BY grp),
+  r_k AS (SELECT grp, count(*) FILTER (block_kind IN ('table_row', 'metadata_line')) AS rb, count(*) FILTER (block_kind = 'code_example') AS eb FROM gk GROUP BY grp), r_s AS (SELECT r_n.*, coalesce(rb, 0) AS rb, coalesce(eb, 0) AS eb FROM r_n LEFT JOIN r_k USING (grp)),
+  r_i AS (SELECT *, CASE WHEN j >= claims THEN 'reject' WHEN r > 0 AND (r >= 2 OR rb >= 1) THEN 'reference' WHEN e > 0 AND (2 * e >= 2 OR eb >= 1) THEN 'example' WHEN t > 0 THEN 'topic' WHEN worthy THEN 'concept' ELSE 'topic' END AS intent FROM r_s),
+  r_x AS (SELECT grp, string_agg(text, chr(10) ORDER BY claim_id) AS texts FROM (SELECT grp, claim_id, {strip('text')} AS text, row_number() OVER (PARTITION BY grp ORDER BY claim_id) AS p FROM rh) WHERE p <= 5 AND text <> '' GROUP BY grp)
+  SELECT grp AS "group", claims, intent AS source_page_intent, CASE WHEN intent = 'topic' AND worthy THEN 'concept' ELSE intent END AS page_intent, CASE WHEN intent = 'topic' AND worthy THEN 'topic_promoted_to_concept_by_claim_group' ELSE 'heuristic_page_intent' END AS route_reason, 0.75::DOUBLE AS confidence, texts FROM r_i JOIN r_x USING (grp)""",
+    "structure_projection": f"""WITH RECURSIVE {WEB_CLAIMS}, {GROUPS}, {ROLES}, r_f AS (SELECT grp, 'evidence_kind' AS kind, block_kind AS value FROM gk UNION ALL SELECT grp, 'metadata_key', mk FROM gk WHERE mk <> '' UNION ALL SELECT grp, 'section_path', array_to_string(list_filter(parts, lambda p: p <> ''), ' > ') FROM rh),
+  r_g AS (SELECT grp, kind, value, count(*) AS n FROM r_f WHERE value <> '' GROUP BY ALL) SELECT grp AS "group", kind, value, n FROM r_g QUALIFY row_number() OVER (PARTITION BY grp, kind ORDER BY n DESC, value) <= 8""",
+    "intent_descriptors": "",
+    "rendered_claims": f"""WITH RECURSIVE {WEB_CLAIMS}, {GROUPS}, {ROLES}, o AS (SELECT *, role NOT IN ('meta', 'example') AS ok FROM rh), a AS (SELECT *, bool_or(ok) OVER (PARTITION BY grp) AS any_ok FROM o)
+  SELECT grp AS "group", count(*) AS claims, min(claim_id) AS first_claim FROM a WHERE ok OR NOT any_ok GROUP BY grp""",
 }
+_TITLE = concept_title("topic")
+SQL["intent_descriptors"] = f"""WITH t AS ({SQL['topic_labels']}), i AS (SELECT *, unnest(['reference', 'topic']) AS intent FROM t), c AS (SELECT *, {_TITLE} AS base FROM i), d AS (SELECT *, CASE WHEN base <> '' THEN base WHEN intent = 'reference' THEN '参考' ELSE '主题' END AS title FROM c)
+  SELECT "group", intent, title, intent || ':' || {key('title', 'concept')} AS canonical_id, title || CASE intent WHEN 'reference' THEN ' 的参考信息、规则条目与检索入口。' ELSE ' 的主题概览与相关证据入口。' END AS summary, CASE intent WHEN 'reference' THEN '参考条目 / Reference Notes' ELSE '主题要点 / Topic Notes' END AS section_title FROM d"""
