@@ -9,6 +9,7 @@ and, while writing, ``encoded``.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,6 +50,22 @@ def chunk_bounds(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(filled & edge[:-1]), np.flatnonzero(filled & edge[1:]) + 1
 
 
+# The steps of tokenizers whose tokens never span the places at which texts are cut.
+_STEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def by_words(tok) -> bool:
+    """Whether a tokenizer ignores case and blanks and splits at words as ``chunk_bounds`` does; texts of any other are encoded whole."""
+    steps, splits = ([] if part is None else (json.loads(part.__getstate__())) for part in (tok.normalizer, tok.pre_tokenizer))
+    if not steps or not splits or splits.get("type") != "Sequence":
+        return False
+    found = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+    first, *rest = splits["pretokenizers"]
+    split = first.get("type") == "Split" and first["pattern"] == {"Regex": _WORDS} and first["behavior"] == "Removed" and first["invert"]
+    return split and {"type": "Lowercase"} in found and all(step in _STEPS for step in found) and all(r.get("type") == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest)
+
+
 def _tokenizer(file: str):
     if file not in _worker:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,13 +74,17 @@ def _tokenizer(file: str):
         tok = Tokenizer.from_file(file)
         special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
         wide = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-        _worker[file] = tok, special, RaggedCache(wide), wide
+        _worker[file] = tok, special, RaggedCache(wide), wide, by_words(tok)
     return _worker[file]
 
 
 def tokenize(buf: np.ndarray, at: np.ndarray, file: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts one after another, and the number for each text."""
-    tok, special, cache, wide = _tokenizer(file)
+    tok, special, cache, wide, words = _tokenizer(file)
+    if not words:
+        raw = buf.tobytes()
+        runs = [np.asarray(tok.encode(raw[a:b].decode(), add_special_tokens=False).ids, wide) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return np.concatenate(runs) if runs else np.zeros(0, wide), np.fromiter(map(len, runs), np.int64, len(runs))
     starts, ends = chunk_bounds(buf, at)
     low = LOWER[buf]
 

@@ -37,6 +37,18 @@ def test_special_strings_stay_special():
     assert flat[: n[0]].tolist() == TOK.encode("Hi <|endoftext|> x", add_special_tokens=False).ids
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="aB' .,!1é\n\tΣİ日"), max_size=4))
+def test_other_tokenizers_encode_whole_texts(texts):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(file)
+    assert token_files.by_words(TOK) and not token_files.by_words(tok)
+    texts = [*texts, "Hello World  HELLO world"]
+    flat, n = token_files.tokenize(*arrays(texts), file)
+    ends = np.cumsum(n)
+    assert [flat[b - k : b].tolist() for b, k in zip(ends, n)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 def test_byte_coding_round_trip(numbers):
     x = np.array(numbers, np.uint32)
