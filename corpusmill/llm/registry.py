@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
+from . import centroids, chat_format, embedding_dedup, hard_negatives, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_language_id": language_id.op9_language_id,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op13_centroids": centroids.op13_centroids,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.mix_sql(),
         "op5_chat_format": chat_format.SQL,
         "op10_embedding_dedup": embedding_dedup.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
+        "op13_centroids": centroids.SQL,
     }
