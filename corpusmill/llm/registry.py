@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, embedding_dedup, hard_negatives, language_id, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
+from . import centroids, chat_format, embedding_dedup, hard_negatives, language_id, lm_scoring, mixing, ngram_join, piece_fst, quality, sharding, token_files, topk_search
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": language_id.op9_language_id,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_lm_scoring": lm_scoring.op12_lm_scoring,
         "op13_centroids": centroids.op13_centroids,
     }
 
