@@ -115,12 +115,19 @@ def _distinct_claims(spark: SparkSession, d: str) -> DataFrame:
 
 def claim_reviews(spark: SparkSession, d: str) -> DataFrame:
     """2.6.2 to 2.6.5, 2.2.14: near-duplicate and contradicting claims of pages, documents and conversations as reviews."""
+    return N.claim_reviews(_all_claims(spark, d)[-1]).select("review_id", "kind", "recommended_action", F.size("candidate_claim_ids").cast("long").alias("candidates"))
+
+
+def _all_claims(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Sources, blocks, evidence, units, chunks and merged claims of pages, documents and conversations; what several steps read is staged."""
     columns = ("source_id", "source_path", "source_type", "ord", "title", "source_hash", "text")
-    chats = D.conversations(spark, d).select(*columns)
-    texts = D.pages(spark, d).select(*columns).unionByName(D.documents(spark, d).select(*columns))
-    _, _, units = S.compile_structure(texts.unionByName(chats))
-    chunks = S.chunks(texts).unionByName(S.chunks(chats, "chat_turn"))
-    return N.claim_reviews(C.merge_claims(C.claims(units, chunks))).select("review_id", "kind", "recommended_action", F.size("candidate_claim_ids").cast("long").alias("candidates"))
+    chats = staged(D.conversations(spark, d).select(*columns), "chats")
+    texts = staged(D.pages(spark, d).select(*columns).unionByName(D.documents(spark, d).select(*columns)), "texts")
+    sources = texts.unionByName(chats)
+    blocks, evidence, units = S.compile_structure(sources)
+    units = staged(units, "units")
+    chunks = staged(S.chunks(texts).unionByName(S.chunks(chats, "chat_turn")), "chunks")
+    return sources, blocks, evidence, units, chunks, staged(C.merge_claims(C.claims(units, chunks)), "claims")
 
 
 def document_pages(spark: SparkSession, d: str) -> DataFrame:
