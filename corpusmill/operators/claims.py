@@ -111,11 +111,6 @@ def stable(claims_: DataFrame) -> DataFrame:
     return live(claims_).where("status = 'stable'")
 
 
-def lifecycle() -> Column:
-    """superseded, archived or active, by what a row records."""
-    return F.when(F.size(F.coalesce("superseded_by", F.array().cast("array<string>"))) > 0, "superseded").when(F.col("archived_at").isNotNull(), "archived").otherwise("active")
-
-
 def by_source(claims_: DataFrame) -> DataFrame:
     """(source_id, claim_id) for each source of a claim."""
     return claims_.select(F.explode("source_ids").alias("source_id"), "claim_id")

@@ -1,16 +1,17 @@
 """Reviews and what follows from them: actions, automatic plans, promotion, retraction, history.
 
-Actions work on whole frames of decided reviews at once. Actions that touch one claim through
-several reviews are applied in review order by repeated calls.
+Actions work on whole frames of decided reviews at once; ``review_loop`` applies reviews that
+depend on each other in their order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..sources.stages import staged
 
 
 def none() -> Column:
@@ -52,9 +53,25 @@ def plans(reviews: DataFrame, claims: DataFrame) -> DataFrame:
     return g.select("review_id", "kind", action.alias("action"), F.col("best.claim_id").alias("primary_claim_id"), F.array_except("all", F.array("best.claim_id")).alias("others"))
 
 
+def _moves(decided: DataFrame) -> DataFrame:
+    """(claim_id, action, to): each loser's first decision by review_id; ``to``: the claim at the end of its chain of merges, null if archived."""
+    first = Window.partitionBy("claim_id").orderBy("review_id")
+    each = decided.where(F.col("action").isin("merge", "archive_one")).select("review_id", "action", F.when(F.col("action") == "merge", F.col("primary_claim_id")).alias("to"), F.explode("others").alias("claim_id"))
+    moves = staged(each.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("claim_id", "action", "to"), "moves")
+    for _ in range(40):  # chains halve each time
+        on = moves.where("action = 'merge'").select(F.col("claim_id").alias("to"), F.col("to").alias("beyond"))
+        if moves.join(on, "to", "left_semi").isEmpty():
+            break
+        moves = staged(moves.join(on, "to", "left").select("claim_id", "action", F.coalesce("beyond", "to").alias("to")), "moves")
+    return moves
+
+
 def merged(claims: DataFrame, decided: DataFrame) -> DataFrame:
-    """Claims after merges and archivings: losers end superseded or archived, primaries take the losers' sources and references."""
-    acts = decided.where(F.col("action").isin("merge", "archive_one")).select("action", "primary_claim_id", F.explode("others").alias("claim_id")).dropDuplicates(["claim_id"])
+    """Claims after merges and archivings: losers end superseded or archived, primaries take the losers' sources and references.
+
+    Of a claim that several reviews decide, the first review's decision holds; chains of merges go to their end.
+    """
+    acts = _moves(decided).withColumnRenamed("to", "primary_claim_id")
     gains = acts.where("action = 'merge'").join(claims.select("claim_id", F.col("source_ids").alias("s"), F.col("source_refs").alias("r")), "claim_id")
     gains = gains.groupBy(F.col("primary_claim_id").alias("claim_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("gain_s"), F.flatten(F.collect_list("r")).alias("gain_r"))
     rows = claims.join(gains, "claim_id", "left").join(acts.select("claim_id", "action", F.col("primary_claim_id").alias("into")), "claim_id", "left")
@@ -64,7 +81,7 @@ def merged(claims: DataFrame, decided: DataFrame) -> DataFrame:
 
 def rewritten(reviews: DataFrame, decided: DataFrame) -> DataFrame:
     """Open reviews after those decisions: losers replaced by their primaries or dropped; under two candidates left, or decided itself: resolved."""
-    moves = decided.where(F.col("action").isin("merge", "archive_one")).select(F.explode("others").alias("claim_id"), F.when(F.col("action") == "merge", F.col("primary_claim_id")).alias("to")).dropDuplicates(["claim_id"])
+    moves = _moves(decided).select("claim_id", "to")
     each = reviews.select("review_id", F.posexplode("candidate_claim_ids").alias("pos", "claim_id")).join(moves.withColumn("moved", F.lit(True)), "claim_id", "left")
     new = each.withColumn("now", F.when(F.col("moved"), F.col("to")).otherwise(F.col("claim_id"))).where("now IS NOT NULL")
     new = new.groupBy("review_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "now"))), lambda x: x["now"])).alias("now"))

@@ -26,6 +26,7 @@ from ..functions import ids
 from ..operators import claims as C
 from ..operators import concepts as K
 from ..operators import pages as P
+from ..operators import routing as R
 from ..operators import structure as S
 from ..sources.stages import staged
 
@@ -188,7 +189,7 @@ def _without(rows: DataFrame | None, gone: DataFrame, new: DataFrame) -> DataFra
 
 def made_pages(sources: DataFrame, chunks: DataFrame, claims: DataFrame, shown: DataFrame) -> DataFrame:
     """Pages of sources and of concept groups, with ``page_key``: the source's id or the group. ``shown``: the claims that source pages list."""
-    groups = staged(K.grouped(claims), "groups")
+    groups = staged(R.with_roles(K.grouped(claims)), "groups")
     ranked = staged(K.ranked_claims(groups, K.topic_labels(groups)), "ranked")
     titles = K.worth_a_page(groups, K.title(ranked))
     concepts = P.concept_pages(ranked, titles, K.routes(groups))
