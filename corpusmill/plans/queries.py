@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..operators import claims as C
+from ..operators import compile as B
 from ..operators import concepts as K
 from ..operators import graph as G
 from ..operators import lifecycle as Y
@@ -194,8 +195,8 @@ def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """2.6.17: links between pages."""
-    return G.page_links(_web_pages(spark, d))
+    """2.6.17: links between compiled pages."""
+    return G.page_links(_compiled(spark, d))
 
 
 def related_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -224,21 +225,21 @@ def topic_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_claims(spark: SparkSession, d: str) -> DataFrame:
-    """2.8.1 to 2.8.4, 2.8.6: each group's canonical claim, title and quality."""
-    groups = staged(K.grouped(_page_claims(spark, d)[-1]), "groups")
-    ranked = K.ranked_claims(groups, K.topic_labels(groups))
+    """2.8.1 to 2.8.4, 2.8.6: each group's canonical claim, title and quality, of claims of pages, documents and conversations."""
+    groups = staged(K.grouped(_all_claims(spark, d)[-1]), "groups")
+    ranked = staged(K.ranked_claims(groups, K.topic_labels(groups)), "ranked")
     return K.canonical_claims(ranked).select("group", "claim_id", "text", "alignment", "readability").join(K.title(ranked), "group")
 
 
+def _compiled(spark: SparkSession, d: str) -> DataFrame:
+    sources, _, evidence, _, chunks, claims = _all_claims(spark, d)
+    return B.compiled_pages(sources, evidence, chunks, claims)[0]
+
+
 def compiled_pages(spark: SparkSession, d: str) -> DataFrame:
-    """2.13: source, concept, routed and overview pages compiled from web pages."""
-    sources, _, _, _, chunks, claims = _page_claims(spark, d)
-    groups = staged(I.with_roles(K.grouped(claims)), "groups")
-    ranked = staged(K.ranked_claims(groups, K.topic_labels(groups)), "ranked")
-    titles = K.worth_a_page(groups, K.title(ranked))
-    made = P.concept_pages(ranked, titles, K.routes(groups))
-    made = made.unionByName(P.source_pages(sources, claims, chunks)).unionByName(P.overview_page(made))
-    return made.select("page_id", "page_path", "title", "type", F.size("claim_ids").cast("long").alias("claims"), F.length("page_text").cast("long").alias("chars"))
+    """2.13, 2.8.7, 2.8.8, 2.8.15: source, concept, routed and overview pages compiled from pages, documents and conversations."""
+    rows = _compiled(spark, d)
+    return rows.select("page_id", "page_path", "title", "type", "route_reason", "route_decision_id", F.size("claim_ids").cast("long").alias("claims"), F.size("source_ids").cast("long").alias("sources"), F.length("page_text").cast("long").alias("chars"))
 
 
 def claim_quality_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -300,8 +301,9 @@ def id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 def lint(spark: SparkSession, d: str) -> DataFrame:
     """2.14: all checks over what pages compile to."""
     sources, blocks, evidence, units, chunks, claims = _page_claims(spark, d)
-    reviews = N.claim_reviews(claims)
-    return Q.checks({"sources": sources, "blocks": blocks, "evidence": evidence, "units": units, "chunks": chunks, "claims": claims, "pages": P.source_pages(sources, claims, chunks), "reviews": reviews})
+    pages, found = B.compiled_pages(sources, evidence, chunks, claims)
+    claims, decisions = I.decided_roles(found["groups"].select(*claims.columns, "knowledge_role", "page_intent_hints"))
+    return Q.checks({"sources": sources, "blocks": blocks, "evidence": evidence, "units": units, "chunks": chunks, "claims": claims, "pages": pages, "reviews": N.claim_reviews(claims), "decisions": decisions})
 
 
 def lineage_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import claims as C
+from ..operators import compile as B
 from ..operators import concepts as K
 from ..operators import pages as P
-from ..operators import routing as R
 from ..operators import structure as S
 from ..sources.stages import staged
 
@@ -187,16 +187,15 @@ def _without(rows: DataFrame | None, gone: DataFrame, new: DataFrame) -> DataFra
     return new if rows is None else rows.join(gone, "source_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def made_pages(sources: DataFrame, chunks: DataFrame, claims: DataFrame, shown: DataFrame) -> DataFrame:
-    """Pages of sources and of concept groups, with ``page_key``: the source's id or the group. ``shown``: the claims that source pages list."""
-    groups = staged(R.with_roles(K.grouped(claims)), "groups")
-    ranked = staged(K.ranked_claims(groups, K.topic_labels(groups)), "ranked")
-    titles = K.worth_a_page(groups, K.title(ranked))
-    concepts = P.concept_pages(ranked, titles, K.routes(groups))
-    key = ranked.where("rank = 1").select(F.col("claim_id").alias("_c"), F.concat(F.lit("group:"), "group").alias("page_key"))
-    concepts = concepts.join(key, F.get("claim_ids", F.lit(0)) == F.col("_c")).drop("_c")
+def made_pages(sources: DataFrame, chunks: DataFrame, claims: DataFrame, shown: DataFrame, evidence: DataFrame, names: DataFrame) -> DataFrame:
+    """Pages of sources and of claims' groups, with ``page_key``: the source's id or the group. ``shown``: the claims that source pages list; ``names``: (source_id, source_path, title) of all sources."""
+    found = B.routed_groups(claims, evidence)
+    made = B.group_pages(found, names)
+    # a claim stands in one group
+    key = found["groups"].select(F.col("claim_id").alias("_c"), F.concat(F.lit("group:"), "group").alias("page_key"))
+    made = made.join(key, F.get("claim_ids", F.lit(0)) == F.col("_c")).drop("_c")
     own = P.source_pages(sources, shown, chunks)
-    return concepts.unionByName(own.withColumn("page_key", F.concat(F.lit("source:"), F.get("source_ids", F.lit(0)))))
+    return made.unionByName(own.withColumn("page_key", F.concat(F.lit("source:"), F.get("source_ids", F.lit(0)))))
 
 
 def page_delta(store: Store, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -222,20 +221,22 @@ def page_delta(store: Store, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
     claims = delta.where("NOT dead").drop("dead")
     claims = staged(claims if old_claims is None else claims.unionByName(old_claims.join(moved, "normalized_text", "left_anti")), "claims_now")
     touched = before.join(moved, "normalized_text", "left_semi").unionByName(delta.where("NOT dead").drop("dead"))
-    groups = staged(K.grouped(touched).select("group").distinct(), "touched_groups")
+    groups = staged(K.grouped(before.unionByName(merged)).select("group").distinct(), "touched_groups")  # also of claims whose sources have new titles
     named = touched.select(F.explode("source_ids").alias("source_id")).unionByName(new["sources"].select("source_id")).unionByName(gone).distinct()
     named = staged(named, "touched_sources")
-    sources = _without(store.read("sources"), gone, new["sources"]).join(named, "source_id", "left_semi")
+    sources = _without(store.read("sources"), gone, new["sources"])
+    names, sources = sources.select("source_id", "source_path", "title"), sources.join(named, "source_id", "left_semi")
+    evidence = _without(store.read("evidence"), gone, new["evidence"])
     chunks = _without(store.read("chunks"), gone, new["chunks"]).join(named, "source_id", "left_semi")
     of_groups = K.grouped(claims).join(groups, "group", "left_semi").select(claims.columns)
     shown = claims.where(F.size("source_ids") > 0).join(claims.select("claim_id", F.explode("source_ids").alias("source_id")).join(named, "source_id", "left_semi").select("claim_id").distinct(), "claim_id", "left_semi")
-    made = staged(made_pages(sources, chunks, of_groups, shown), "pages_made")
+    made = staged(made_pages(sources, chunks, of_groups, shown, evidence, names), "pages_made")
     keys = groups.select(F.concat(F.lit("group:"), "group").alias("page_key")).unionByName(named.select(F.concat(F.lit("source:"), "source_id").alias("page_key")))
     sign = ids.signature("title", "type", "status", "summary", "page_text")
     made = made.withColumn("signature", sign)
     if old_pages is None:
         old_pages = made.limit(0)
-    same = ["page_key", "page_path", "signature", "claim_ids", "source_ids"]
+    same = ["page_key", "page_path", "signature", "claim_ids", "source_ids", "route_decision_id"]
     moved = staged(made.join(old_pages.select(*same), same, "left_anti"), "pages_moved")
     over = staged(old_pages.join(keys, "page_key", "left_semi").join(made.select("page_key"), "page_key", "left_anti"), "pages_over")
     rest = old_pages.join(moved.select("page_key").unionByName(over.select("page_key")), "page_key", "left_anti").where("page_key <> 'overview'")
