@@ -15,7 +15,7 @@ from ..operators import lifecycle as Y
 from ..operators import lineage as L
 from ..operators import lint as Q
 from ..operators import pages as P
-from ..operators import reviews as R
+from ..operators import references as V
 from ..operators import routing as I
 from ..operators import search as X
 from ..operators import semantic as M
@@ -89,9 +89,15 @@ def claims_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claims_merged_full(spark: SparkSession, d: str) -> DataFrame:
-    """2.7.8, 2.5.21: merged claims with their references."""
-    rows = C.merge_claims(_claims(spark, d))
-    return rows.select("claim_id", "normalized_text", F.size("source_ids").cast("long").alias("sources"), F.size("source_refs").cast("long").alias("refs"), F.size("evidence_block_ids").cast("long").alias("evidence"), "claim_type")
+    """2.7.8, 2.5.21: merged claims with counts of their references."""
+    claims, _ = V.claim_tables(_claims(spark, d))
+    return claims.select("claim_id", "normalized_text", F.col("n_sources").alias("sources"), F.col("n_refs").alias("refs"), F.col("n_evidence").alias("evidence"), "claim_type")
+
+
+def claim_references(spark: SparkSession, d: str) -> DataFrame:
+    """2.7.8, 2.7.9: every reference of merged claims, numbered within its claim."""
+    claims, refs = V.claim_tables(_claims(spark, d))
+    return refs.join(claims.select("normalized_text", "claim_id"), "normalized_text").select("claim_id", F.col("position").cast("long").alias("position"), "source_id", F.col("ref").alias("reference"), F.col("start_line").cast("long").alias("start_line"))
 
 
 def unit_chunk_join(spark: SparkSession, d: str) -> DataFrame:
@@ -276,21 +282,28 @@ def decision_cache_miss(spark: SparkSession, d: str) -> DataFrame:
 
 def retract_source(spark: SparkSession, d: str) -> DataFrame:
     """2.11.8, 2.11.9: claims after a source is retracted, and those that go to history."""
-    claims = C.merge_claims(_claims(spark, d))
     gone = D.documents(spark, d).where(F.col("source_path").startswith("raw/src1/")).select("source_id")
-    kept, history = R.retract_sources(claims, gone)
-    return kept.unionByName(history).groupBy("lifecycle_status").agg(F.count("*").alias("claims"), F.sum(F.when(F.col("lifecycle_status") == "active", F.size("source_refs")).otherwise(0)).cast("long").alias("refs"))
+    rows, _ = V.without_sources(*V.claim_tables(_claims(spark, d)), gone)
+    return rows.groupBy("lifecycle_status").agg(F.count("*").alias("claims"), F.sum("n_refs").cast("long").alias("refs"))
+
+
+def _page_references(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Sources, blocks, evidence, units, chunks and claims' references of web pages."""
+    sources = staged(D.pages(spark, d), "pages")
+    blocks, evidence, units = S.compile_structure(sources)
+    units, chunks = staged(units, "units"), staged(S.chunks(sources), "chunks")
+    return sources, blocks, evidence, units, chunks, V.claim_tables(C.claims(units, chunks))[1]
 
 
 def coverage_rows(spark: SparkSession, d: str) -> DataFrame:
     """2.14.4: counts per source."""
-    return Q.coverage_rows(*_page_claims(spark, d)).select("source_id", *(F.col(c).cast("long").alias(c) for c in ("blocks", "evidence", "units", "chunks", "claim_mentions")))
+    return Q.coverage_rows(*_page_references(spark, d)).select("source_id", *(F.col(c).cast("long").alias(c) for c in ("blocks", "evidence", "units", "chunks", "claim_mentions")))
 
 
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     """2.14.3, 2.14.5, 2.14.6: units without claims, by class."""
-    _, _, _, units, _, claims = _page_claims(spark, d)
-    return Q.gap_summary(Q.coverage_gaps(units, claims))
+    _, _, _, units, _, refs = _page_references(spark, d)
+    return Q.gap_summary(Q.coverage_gaps(units, refs))
 
 
 def id_uniqueness(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +421,7 @@ def rendered_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    source_register, source_latest_active, page_blocks, page_evidence, page_sections, document_chunks, conversation_chunks, claims_extract, claims_merge, claims_merged_full, unit_chunk_join, claim_tokens, claim_reviews, document_frequency, field_statistics, bm25_multifield, bm25_body, reading_packs, query_intents,
+    source_register, source_latest_active, page_blocks, page_evidence, page_sections, document_chunks, conversation_chunks, claims_extract, claims_merge, claims_merged_full, claim_references, unit_chunk_join, claim_tokens, claim_reviews, document_frequency, field_statistics, bm25_multifield, bm25_body, reading_packs, query_intents,
     alias_conflicts, page_links, related_pages, concept_groups, topic_labels, canonical_claims, compiled_pages, claim_quality_rules, claim_role_rules, page_intents, decision_cache_miss, retract_source, coverage_rows, coverage_gaps, id_uniqueness, lint, lineage_summary, word_counter, markdown_links,
     record_upserts, record_filters, page_lifecycles, review_ledger, alias_actions, structured_sources, page_intent_routes, structure_projection, intent_descriptors, rendered_claims,
 )}

@@ -182,6 +182,8 @@ SQL: dict[str, str] = {
     "claims_extract": f"WITH RECURSIVE {DOC_CLAIMS} SELECT source_id, line::BIGINT AS line, pos::BIGINT AS pos, text, normalized_text, claim_type, claim_origin_kind FROM cl",
     "claims_merge": f"WITH RECURSIVE {DOC_CLAIMS}, {MERGED} SELECT normalized_text, claim_id, n_mentions, n_sources FROM mg",
     "claims_merged_full": f"WITH RECURSIVE {DOC_CLAIMS}, {MERGED} SELECT claim_id, normalized_text, n_sources AS sources, n_refs AS refs, n_evidence AS evidence, claim_type FROM mg",
+    "claim_references": f"""WITH RECURSIVE {DOC_CLAIMS}, {MERGED}, rf AS (SELECT normalized_text, source_id, id, min((ord, line, pos, claim_id)) AS spot, min(line) AS start_line FROM cl GROUP BY ALL)
+  SELECT mg.claim_id, row_number() OVER (PARTITION BY normalized_text ORDER BY spot, id) AS position, source_id, id AS reference, start_line::BIGINT AS start_line FROM rf JOIN mg USING (normalized_text)""",
     "unit_chunk_join": f"WITH RECURSIVE {DOC_CLAIMS} SELECT source_id, knowledge_unit_id, chunk_id, chunk_section_path FROM cv",
     "claim_tokens": f"""WITH RECURSIVE {DOC_CLAIMS}, {MERGED}, ts AS (SELECT unnest({similarity_tokens('normalized_text')}) AS token FROM mg)
   SELECT token, count(*) AS claims, max(CASE WHEN regexp_matches(token, '^[a-z0-9_]+$') THEN greatest(1.0, least(length(token), 8) / 2.0) ELSE least(length(token), 4) END::DOUBLE) AS weight FROM ts GROUP BY token""",
