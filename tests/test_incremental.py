@@ -111,3 +111,14 @@ def test_pages_follow_what_changed(spark, tmp_path):
     assert any(key.startswith("source:src_a") and dead for key, dead in written) and len(written) < len(pages(store)) + 3
     before = pages(store), claims(store)
     assert store.compact() == 1 and (pages(store), claims(store)) == before
+
+
+def test_new_titles_reach_pages(spark, tmp_path):
+    """A source of a new title has a new page file; pages of its claims link there, though no claim changed."""
+    files, store, fresh = {"a.md": CONTENTS[2], "b.md": CONTENTS[0]}, I.Store(spark, str(tmp_path / "s")), I.Store(spark, str(tmp_path / "f"))
+    renamed = scan(spark, files).withColumn("title", F.when(F.col("source_path") == "a.md", "new words").otherwise(F.col("title")))
+    I.apply_batch(store, scan(spark, files), True, pages=True)
+    I.apply_batch(store, renamed, True, pages=True)
+    I.apply_batch(fresh, renamed, True, pages=True)
+    assert pages(store) == pages(fresh) and store.read("claims").count() == fresh.read("claims").count()
+    assert any("new%20words" in r.page_text for r in store.read("pages").where("type IN ('concept', 'topic')").collect())
