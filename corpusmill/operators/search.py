@@ -77,13 +77,13 @@ def page_fields(pages: DataFrame) -> DataFrame:
         "title": F.col("title"), "aliases": listed(F.col("aliases")), "hierarchy": listed(F.col("hierarchy")), "summary": F.col("summary"), "headings": listed(T.headings("page_text")),
         "claim_text": listed(F.col("claim_texts")), "body": T.searchable_body("page_text"), "source_refs": listed(F.col("source_paths")),
     }
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("text")) for k, v in texts.items()))).alias("x")
+    each = F.explode_outer(F.array(*(F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("text")) for k, v in texts.items()))).alias("x")
     return pages.select("page_id", each).select("page_id", "x.field", T.tokens(T.normal_claim("x.text")).alias("tokens"))
 
 
 def postings(fields: DataFrame) -> DataFrame:
     """(page_id, field, token, tf, length)."""
-    rows = fields.select("page_id", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    rows = fields.select("page_id", "field", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")  # outer: texts are cut once, not for a filter too
     return rows.groupBy("page_id", "field", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -91,6 +91,16 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "token").agg(F.count("*").alias("df"))
 
 
+def text_frequency(pages: DataFrame) -> DataFrame:
+    """(field, token, df) of whole pages. A row's tokens are made distinct in the row, so only counts by token are shuffled; rows that share a page id are counted by page."""
+    twice = staged(pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again")), "twice")
+    each = lambda rows: page_fields(rows).select("field", F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token IS NOT NULL")
+    if twice.isEmpty():
+        return document_frequency(each(pages))
+    same = F.col("page_id").eqNullSafe(F.col("again"))
+    return document_frequency(each(pages.join(twice, same, "left_anti")).unionByName(postings(page_fields(pages.join(twice, same, "left_semi"))).select("field", "token")))
+
+
 def field_statistics(fields: DataFrame) -> DataFrame:
     """(field, pages, average): a row for each field; empty fields count."""
     return fields.groupBy("field").agg(F.count("*").alias("pages"), F.avg(F.size("tokens")).alias("average"))
