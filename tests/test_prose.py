@@ -9,7 +9,7 @@ from corpusmill.operators import structure as S
 
 PARTS = [
     "word", "Été", "straße", "Ünder", "useful", "a", "b", "İx", "слово", "回链", "12", "3.", "x/y", "key", ": ", ":", "：", " ", "  ", " ", " ", ", ", ",", ",,", ". ", ".", ".  ", "! ", "!", "?", "; ", ";", "-", " - ", "- ", "--", "+ ", "* ", "**", "# ",
-    "## ", "> ", "`", "```", "_", "__", "~~", "[a](b)", "](", "(", ")", "[", "<!--", "-->", "\n", "\n", "\n\n", "\n- ", "\n-\n", "\n1.\n", "\n##\n", "\n\n\n\n", "\t", " ", "　", "\u0085", "。", "；", "因此", "什么是 ", "|", "$", "%", "'", '"', "speaker:", "2024-01-02", "raw/", "{", "}",
+    "## ", "> ", "`", "```", "_", "__", "~~", "[a](b)", "](", "(", ")", "[", "<!--", "-->", "\n", "\n", "\n\n", "\n- ", "\n-\n", "\n- 1.\n", "\n- \n", "\n1.\n", "\n##\n", "\n\n\n\n", "\t", " ", "　", "\u0085", "。", "；", "因此", "什么是 ", "|", "$", "%", "'", '"', "speaker:", "2024-01-02", "raw/", "{", "}",
     " alpha beta gamma delta epsilon, zeta eta theta iota kappa, lambda mu nu xi omicron, pi rho sigma tau ypsilon, phi chi psi omega and all the rest of it",
 ]
 
