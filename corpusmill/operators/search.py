@@ -160,7 +160,7 @@ def scored_pages(queries: DataFrame, pages: DataFrame, fields: DataFrame | None
     asked = F.col("normal") != ""
     exact = [
         ("title_exact", TITLE_BOOST, asked & (T.normal_claim("title") == F.col("normal"))), ("canonical_exact", CANONICAL_BOOST, asked & (T.normal_claim(F.coalesce("canonical_id", F.lit(""))) == F.col("normal"))),
-        ("alias_exact", ALIAS_BOOST, asked & F.array_contains(F.transform("aliases", T.normal_claim), F.col("normal"))), ("alias_registry_hit", REGISTRY_BOOST, F.coalesce("named", F.lit(False))),
+        ("alias_exact", ALIAS_BOOST, asked & F.array_contains(F.transform("aliases", lambda a: T.normal_claim(a)), F.col("normal"))), ("alias_registry_hit", REGISTRY_BOOST, F.coalesce("named", F.lit(False))),
     ]
     boost = F.greatest(F.lit(1.0), *(F.when(F.coalesce(ok, F.lit(False)), w).otherwise(1.0) for _, w, ok in exact))
     reasons = F.array_compact(F.array(*(F.when(ok, name) for name, _, ok in exact)))
