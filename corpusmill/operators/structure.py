@@ -65,8 +65,8 @@ def _stack(level: Column, title: Column, line_no: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def structure_blocks(sources: DataFrame) -> DataFrame:
-    """One row per block, in order of start_line.
+def bare_blocks(sources: DataFrame) -> DataFrame:
+    """One row per block without its neighbours and parent: (…, parent_line). Blocks lie as their sources' lines do, so what goes on by source needs no further shuffle.
 
     Fences toggle code; an unclosed one makes a paragraph of what follows. Headings, list items,
     quotes and table rows are blocks of one line, paragraphs runs of other lines. A block's path
@@ -91,13 +91,17 @@ def structure_blocks(sources: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw"),
     )
     raw = T.sub("raw", r"(?U)\s+\z")
-    blocks = blocks.select(
+    return blocks.select(
         ids.structure_block_id(F.col("source_id"), F.col("start_line"), F.col("end_line"), raw).alias("structure_block_id"), "source_id", "source_path", "ord", F.col("kind").alias("block_type"),
         T.strip(raw).alias("text"), raw.alias("raw_markdown"), F.transform("stack", lambda x: x["title"]).alias("heading_path_parts"),
         F.try_element_at(F.transform("stack", lambda x: x["at"]), F.when(F.col("kind") == "heading", -2).otherwise(-1)).alias("parent_line"),
         "start_line", "end_line", _attributes(F.col("kind"), F.col("line"), F.col("s")).alias("attributes"), ids.digest(raw).alias("hash"),
     )
-    order = Window.partitionBy("source_id").orderBy("start_line")
+
+
+def structure_blocks(sources: DataFrame) -> DataFrame:
+    """``bare_blocks`` with the ids of those before, behind and above them."""
+    blocks, order = bare_blocks(sources), Window.partitionBy("source_id").orderBy("start_line")
     blocks = blocks.withColumns({"previous_block_id": F.lag("structure_block_id").over(order), "next_block_id": F.lead("structure_block_id").over(order)})
     heads = blocks.where("block_type = 'heading'").select("source_id", F.col("start_line").alias("parent_line"), F.col("structure_block_id").alias("parent_block_id"))
     return blocks.join(heads, ["source_id", "parent_line"], "left").drop("parent_line")
